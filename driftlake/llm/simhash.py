@@ -7,13 +7,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlake.llm.shared import drop_path, fresh, numbered, written
 
 #: Shingles hashed and counted at a time.
 CHUNK = 1 << 16
+#: Bits of its own half that a variant is dealt by besides the other half; variants that one task sorts.
+SUB = 6
+VARIANTS_A_TASK = 3_000_000
 
 
 def fingerprint_of(text: bytes | None, shingle: int, seed: int = 42) -> int:
@@ -48,36 +51,70 @@ def fingerprints(text: Column, shingle: int = 5) -> Column:
     return of(text)
 
 
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
 def ball_masks(radius: int, bits: int = 64) -> tuple[list[int], list[int]]:
     """What a fingerprint is XORed with: the variants within half the radius, rounded down, and those further ones at half of an odd radius, rounded up.
 
     Of two fingerprints that differ in an odd radius r of bits, one has an odd number of ones; it alone goes (r + 1) / 2 steps, the
     other (r - 1) / 2. Of the r bits, (r + 1) / 2 are in the same half of the word, so steps within one half are enough.
     """
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    ball = [signed(sum(1 << i for i in c)) for n in range(radius // 2 + 1) for c in combinations(range(bits), n)]
+    ball = [sum(1 << i for i in c) for n in range(radius // 2 + 1) for c in combinations(range(bits), n)]
     half = bits // 2
-    rim = [signed(sum(1 << i for i in c)) for a in (0, half) for c in combinations(range(a, a + half), (radius + 1) // 2)] if radius % 2 else []
+    rim = [sum(1 << i for i in c) for a in (0, half) for c in combinations(range(a, a + half), (radius + 1) // 2)] if radius % 2 else []
     return ball, rim
 
 
+def _routes(radius: int) -> list[tuple[int, int, list[int], list[int]]]:
+    """(half, change, ball, rim): masks by what they change of the bits that a variant is dealt by.
+
+    For variants at the rim in one half these are the bits of the other half, which stay, and SUB bits of their own: all masks of a group
+    take a fingerprint to the same place, so it is sent there once and its variants are made there.
+    """
+    ball, rim = ball_masks(radius)
+    out = []
+    for half in (0, 1):
+        own = ((1 << 32) - 1) << 32 * half
+        key = ~(own >> SUB & own) & ((1 << 64) - 1)
+        groups: dict[int, tuple[list[int], list[int]]] = {}
+        for i, masks in enumerate((ball, [m for m in rim if not m & ~own])):
+            for m in masks:
+                groups.setdefault(m & key, ([], []))[i].append(m)
+        out += [(half, change, *g) for change, g in groups.items()]
+    return out
+
+
 def ball_links(found: DataFrame, fp: str, radius: int = 3) -> DataFrame:
     """Links (u, v), u > v, between distinct fingerprints; two fingerprints are joined by links exactly if some chain of pairs within radius joins them.
 
-    Every fingerprint emits its variants; they are shuffled on the variant. Fingerprints within half the radius of a variant are all within
-    the radius of each other, and those at the rim of an odd radius within the radius of each of these, so the smallest inner one is linked
-    with all others of the variant: no pairs inside a bucket, and no link of the closure lost. A bucket holds at most as many
-    fingerprints as there are masks, since fingerprints are distinct. Links are deduplicated and verified.
+    Every fingerprint emits its variants, and those that are equal meet. They are dealt by most of their bits, so that many variants of a
+    fingerprint travel as one row. Fingerprints within half the radius of a variant are all within the radius of each other, and those
+    at the rim of an odd radius within the radius of each of these, so the smallest inner one is linked with all others of the variant:
+    no pairs inside a bucket, and no link of the closure lost. A bucket holds at most as many fingerprints as there are masks,
+    since fingerprints are distinct. Links are deduplicated and verified.
     """
-    ball, rim = ball_masks(radius)
-    array = lambda masks: F.array(*map(F.lit, masks)).cast("array<bigint>")
+    routes = _routes(radius)
+    longs = lambda masks: F.array(*(F.lit(_signed(m)) for m in masks)).cast("array<bigint>")
     one = found.select(F.col(fp).alias("u")).where(F.col("u").isNotNull()).distinct()
-    masks = F.when(F.bit_count("u") % 2 == 1, array(ball + rim)).otherwise(array(ball)) if rim else array(ball)
-    variants = one.select("u", F.explode(masks).alias("m")).select("u", F.col("u").bitwiseXOR(F.col("m")).alias("at"))
-    inner = one.select("u", F.explode(array(ball)).alias("m")).select("u", F.col("u").bitwiseXOR(F.col("m")).alias("at"))
-    middle = inner.groupBy("at").agg(F.min("u").alias("v"))
-    met = variants.join(middle.hint("shuffle_hash"), "at").where("u <> v")
-    ends = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    odd = F.bit_count("u") % 2 == 1
+    ways = [F.struct(F.lit(g).cast("short").alias("g"), F.lit(half).cast("byte").alias("half"), F.lit(_signed(change)).cast("long").alias("change")) for g, (half, change, _, _) in enumerate(routes)]
+    key = [((1 << 32) - 1) << 32 * h for h in (0, 1)]
+    kept = F.when(F.col("way.half") == 0, F.lit(_signed(~(key[0] >> SUB & key[0]) & ((1 << 64) - 1)))).otherwise(F.lit(_signed(~(key[1] >> SUB & key[1]) & ((1 << 64) - 1))))
+    inner_only = F.array(*(w for w, r in zip(ways, routes, strict=True) if r[2]))
+    sent = one.select("u", F.explode(F.when(odd, F.array(*ways)).otherwise(inner_only)).alias("way"))
+    sent = sent.select("u", "way.g", "way.half", F.col("u").bitwiseAND(kept).bitwiseXOR(F.col("way.change")).alias("key"))
+    made = sum(len(b) + len(r) / 2 for _, _, b, r in routes)
+    parts = max(1, round(one.count() * made / VARIANTS_A_TASK))
+    met = sent.repartition(parts, "half", "key")
+    ball = F.get(F.array(*(longs(r[2]) for r in routes)), F.col("g").cast("int"))
+    both = F.get(F.array(*(longs(r[2] + r[3]) for r in routes)), F.col("g").cast("int"))
+    inner = F.get(F.array(*(F.lit(len(r[2])) for r in routes)), F.col("g").cast("int"))
+    variants = met.select("u", "half", "key", "g", F.posexplode(F.when(odd, both).otherwise(ball)).alias("i", "m"))
+    variants = variants.select("half", "key", "u", F.col("u").bitwiseXOR(F.col("m")).alias("at"), F.when(F.col("i") < inner, F.col("u")).alias("inner"))
+    centre = variants.select("u", F.min("inner").over(Window.partitionBy("at", "half", "key")).alias("v")).where("u <> v")
+    ends = centre.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return ends.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
