@@ -24,7 +24,10 @@ DECAY, SPAN, PIECE = 0.6, 8, 24
 TRAIN_TEXTS, TRAIN_CHARS = 3000, 20_000
 LANDMARKS, NEGATIVES, ROUNDS = 128, 20_000, 3
 REMEMBERED = 300_000
+#: Bytes of text whose new words are scored together.
+TOGETHER = 1 << 20
 _LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
+_CODES = bytes((c | 32) - 97 if chr(c | 32) in "abcdefghijklmnopqrstuvwxyz" else 27 for c in range(256))
 _SPACED = re.compile(rb"(?<!\S)\S(?: \S){2,}(?!\S)")
 
 
@@ -37,6 +40,9 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces_of(token: bytes) -> list[bytes]:
     """The parts of a token that are compared: codes of its characters, 0 to 26 for letters, 27 for what stands between them; ends are stripped of the latter."""
+    if token.isascii() and token.isalpha():
+        codes = token.translate(_CODES)
+        return [codes] if len(codes) <= PIECE else [codes[i : i + PIECE] for i in range(0, len(codes) - PIECE // 2, PIECE // 2)]
     word = token.decode().lower()
     if not word.isalpha():
         a = next((i for i, c in enumerate(word) if c.isalnum()), len(word))
@@ -58,18 +64,20 @@ def features(words: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         at, weights = _triples(n)
         for part in range(0, len(indexes), 2048):
             idx = np.array(indexes[part : part + 2048])
-            letters = np.frombuffer(b"".join(words[i] for i in idx), np.uint8).reshape(-1, n).astype(np.int32)
-            a, b, c = (letters[:, at[:, j]] for j in range(3))
-            code = (a * LETTERS + b) * LETTERS + c
-            bad = (a > 26) | (b > 26) | (c > 26)
-            code[bad] = SIZE
-            value = np.where(bad, 0.0, weights)
+            letters = np.frombuffer(b"".join([words[i] for i in idx]), np.uint8).reshape(-1, n)
+            inner = letters.astype(np.int16)
+            code = (inner[:, at[:, 0]] * LETTERS + inner[:, at[:, 1]]) * LETTERS + inner[:, at[:, 2]]  # 16 bits are enough, and sort fast
+            value = np.broadcast_to(weights, code.shape)
+            if (odd := letters > 26).any():
+                bad = (odd[:, at[:, 0]] | odd[:, at[:, 1]]) | odd[:, at[:, 2]]
+                code[bad] = SIZE
+                value = np.where(bad, 0.0, weights)
             order = code.argsort(1, kind="stable")
             ranked, sums = np.take_along_axis(code, order, 1), np.take_along_axis(value, order, 1).cumsum(1)
-            last = np.ones_like(bad)
+            last = np.ones(code.shape, bool)
             last[:, :-1] = ranked[:, 1:] != ranked[:, :-1]
-            rows, cols = last.nonzero()
-            ends = sums[rows, cols]
+            rows = np.repeat(np.arange(len(idx)), last.sum(1))
+            ends = sums[last]
             new = np.ones(len(rows), bool)
             new[1:] = rows[1:] != rows[:-1]
             each = ends - np.where(new, 0.0, np.concatenate(([0.0], ends[:-1])))
@@ -95,10 +103,10 @@ class Model(NamedTuple):
     def margins_of(self, tokens: Sequence[bytes]) -> list[float]:
         """The margin of each token: the largest of its pieces."""
         parts = [pieces_of(t) for t in tokens]
-        m = self.margins([p for x in parts for p in x])
+        m = self.margins([p for x in parts for p in x]).tolist()
         out, at = [], 0
         for x in parts:
-            out.append(float(m[at : at + len(x)].max()))
+            out.append(m[at] if len(x) == 1 else max(m[at : at + len(x)]))
             at += len(x)
         return out
 
@@ -224,18 +232,26 @@ def toxicity(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[bytes, float] = {}
+
+        def scored(bags: list[set[bytes]]) -> list[float]:
+            new = [t for t in set().union(*bags) if t not in known]
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(set().union(*bags))
+            if new:
+                known.update(zip(new, model.margins_of(new), strict=True))
+            best = [sorted({known[t] for t in bag}, reverse=True)[:2] + [model.bias] * 2 for bag in bags]
+            return [model.score(b[0], b[1]) for b in best]
+
         for batch in batches:
-            out = []
+            out, bags, size = [], [], 0
             for value in batch.cast(pa.large_binary()):
-                tokens = tokens_of(value.as_py())
-                new = [t for t in tokens if t not in known]
-                if new:
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = list(tokens)
-                    known.update(zip(new, model.margins_of(new), strict=True))
-                margins = sorted({known[t] for t in tokens}, reverse=True)[:2] + [model.bias] * 2
-                out.append(model.score(margins[0], margins[1]))
-            yield pa.array(out, pa.float64())
+                text = value.as_py()
+                bags.append(tokens_of(text))
+                size += len(text or b"")
+                if size >= TOGETHER:
+                    out += scored(bags)
+                    bags, size = [], 0
+            yield pa.array(out + scored(bags), pa.float64())
 
     return score(text)
