@@ -26,6 +26,8 @@ LANDMARKS, NEGATIVES, ROUNDS = 128, 20_000, 3
 REMEMBERED = 300_000
 #: Bytes of text whose new words are scored together.
 TOGETHER = 1 << 20
+#: Rows of a matrix that a training step takes at a time.
+ROWS = 2048
 _LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
 _CODES = bytes((c | 32) - 97 if chr(c | 32) in "abcdefghijklmnopqrstuvwxyz" else 27 for c in range(256))
 _SPACED = re.compile(rb"(?<!\S)\S(?: \S){2,}(?!\S)")
@@ -62,8 +64,8 @@ def features(words: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
             by_length.setdefault(len(w), []).append(i)
     for n, indexes in by_length.items():
         at, weights = _triples(n)
-        for part in range(0, len(indexes), 2048):
-            idx = np.array(indexes[part : part + 2048])
+        for part in range(0, len(indexes), 1024):
+            idx = np.array(indexes[part : part + 1024])
             letters = np.frombuffer(b"".join([words[i] for i in idx]), np.uint8).reshape(-1, n)
             inner = letters.astype(np.int16)
             code = (inner[:, at[:, 0]] * LETTERS + inner[:, at[:, 1]]) * LETTERS + inner[:, at[:, 2]]  # 16 bits are enough, and sort fast
@@ -128,10 +130,14 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, step
     """Squared-hinge support vector machine, primal, by Newton steps; the last column of x is 1."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        g = ridge * w - (x[on] * (weight[on] * y[on] * slack[on])[:, None]).sum(0)
-        h = (x[on] * weight[on][:, None]).T @ x[on] + ridge * np.eye(len(w))
+        g, h = ridge * w, ridge * np.eye(len(w))
+        for at in range(0, len(x), ROWS):
+            rows, sign = x[at : at + ROWS], y[at : at + ROWS]
+            slack = 1 - sign * (rows @ w)
+            on = slack > 0
+            rows, pull = rows[on], weight[at : at + ROWS][on]
+            g -= (pull * sign[on] * slack[on]) @ rows
+            h += (rows * pull[:, None]).T @ rows
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -152,6 +158,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
+def _numbered(texts: Sequence[bytes]) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
+    """All pieces of the texts, and for each text the numbers of its pieces of three characters or more, and of the first pieces of its words."""
+    number: dict[bytes, int] = {}
+    of_token: dict[bytes, tuple[int, ...]] = {}
+    seen, heads = [], []
+    for text in texts:
+        mine: set[int] = set()
+        first: set[int] = set()
+        for t in tokens_of(text):
+            ids = of_token.get(t)
+            if ids is None:
+                if len(of_token) >= REMEMBERED:
+                    of_token.clear()
+                ids = of_token[t] = tuple(number.setdefault(p, len(number)) for p in pieces_of(t))
+            mine.update(ids)
+            first.add(ids[0])
+        seen.append(np.fromiter(mine, np.int32, len(mine)))
+        heads.append(np.fromiter(first, np.int32, len(first)))
+    words = list(number)
+    long = np.fromiter(map(len, words), np.int32, len(words)) >= 3
+    return words, [ids[long[ids]] for ids in seen], heads
+
+
 def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = None) -> Model:
     """Learn from texts marked as a whole: in a toxic text at least one word is, in a clean one none.
 
@@ -160,18 +189,25 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
     among all, if the sample has another. Without texts of both classes every score is the rate.
     """
     y = np.array([int(v) for v in labels])
-    bags = [tokens_of(t) for t in texts]
     prior = float(rate if rate is not None else y.mean() if len(y) else 0.0)
     if not len(y) or y.min() == y.max():
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(SIZE + 1), 0.0, 0.0, 0.0, float(np.log(p / (1 - p))))
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (toxic if label else clean).update({b"".join(pieces_of(t)[:1]) for t in bag})
+    words, seen, heads = _numbered(texts)
+    in_toxic, in_clean = (np.bincount(np.concatenate([h for h, label in zip(heads, y, strict=True) if label == v]), minlength=len(words)) for v in (1, 0))
+    del heads
     share = y.mean()
-    lift = {w: (n - e) / np.sqrt(e + 1) for w, n in toxic.items() if len(w) >= 3 and (e := share * (n + clean[w])) >= 0}
-    seen = [[w for t in bag for w in pieces_of(t) if len(w) >= 3] for bag in bags]
-    witness = [max(s, key=lambda w: (lift.get(w, 0.0), w), default=None) if label else None for s, label in zip(seen, y, strict=True)]
+    expected = share * (in_toxic + in_clean)
+    lift = np.where(in_toxic > 0, (in_toxic - expected) / np.sqrt(expected + 1), 0.0)
+    by_word = np.argsort(np.array(words, object), kind="stable")  # ties go to the greater word
+    place = np.empty(len(words), np.int64)
+    place[by_word] = np.arange(len(words))
+
+    def witnesses(value):
+        return [int(ids[np.lexsort((place[ids], value[ids]))[-1]]) if label and len(ids) else None for ids, label in zip(seen, y, strict=True)]
+
+    witness = [None if i is None else words[i] for i in witnesses(lift)]
+    clean = Counter({words[i]: int(in_clean[i]) for i in np.flatnonzero(in_clean)})
     negatives = sorted((w for w in clean if len(w) >= 3), key=lambda w: (-min(clean[w], 20), zlib.crc32(w)))[:NEGATIVES]
     best = [w for w, _ in Counter(w for w in witness if w).most_common(LANDMARKS // 2)]
     marks = list(dict.fromkeys(best + sorted(negatives, key=zlib.crc32)[: LANDMARKS - len(best)]))
@@ -182,14 +218,15 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
     values, vectors = np.linalg.eigh(dense @ dense.T)
     good = values > 1e-6
     project = (vectors[:, good] / np.sqrt(values[good])).T @ dense  # rows: Nyström coordinates as functions of subsequences
+    del dense
+    by_code = np.ascontiguousarray(project.T)
 
     def coordinates(words):
         out = np.zeros((len(words), len(project) + 1))
         out[:, -1] = 1
-        by_code = np.ascontiguousarray(project.T)
         for idx, code, value in features(words):
-            for a in range(0, len(idx), 256):
-                out[idx[a : a + 256], :-1] = np.einsum("wt,wtm->wm", value[a : a + 256], by_code[code[a : a + 256]])
+            for a in range(0, len(idx), 16):
+                out[idx[a : a + 16], :-1] = np.einsum("wt,wtm->wm", value[a : a + 16], by_code[code[a : a + 16]])
         return out
 
     low = coordinates(negatives)
@@ -197,16 +234,16 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
     for _ in range(ROUNDS):
         counts = Counter(w for w in witness if w)
         high = list(counts)
-        x = np.vstack([coordinates(high), low])
+        x = np.empty((len(high) + len(low), low.shape[1]))
+        x[: len(high)], x[len(high) :] = coordinates(high), low
         sign = np.r_[np.ones(len(high)), -np.ones(len(negatives))]
         weight = np.r_[np.array([counts[w] for w in high], float), np.array([min(clean[w], 20) for w in negatives], float)]
         weight[: len(high)] *= np.array([counts[w] / (counts[w] + clean[w]) for w in high])
         w = _newton(x, sign, weight, ridge=1.0)
         model = Model(np.append(w[:-1] @ project[:, :SIZE], 0.0), float(w[-1]), 1.0, 0.0, 0.0)
-        known = list({w for s in seen for w in s})
-        margin = dict(zip(known, model.margins(known).tolist(), strict=True))
-        witness = [max(s, key=lambda w: (margin[w], w), default=None) if label else None for s, label in zip(seen, y, strict=True)]
-    two = np.array([(sorted({margin[w] for w in s}, reverse=True) + [model.bias] * 2)[:2] for s in seen])
+        margin = model.margins(words)
+        witness = [None if i is None else words[i] for i in witnesses(margin)]
+    two = np.array([(np.unique(margin[ids])[::-1].tolist() + [model.bias] * 2)[:2] for ids in seen])
     a, b, c = _logistic(np.c_[two, np.ones(len(two))], y)
     c += np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if 0 < prior < 1 else 0.0
     return model._replace(a=float(a), b=float(b), c=float(c))
