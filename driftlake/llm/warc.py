@@ -216,7 +216,8 @@ def read_archives(files: DataFrame, uri: str, payload: bool = True) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return files.select("file").repartition("file").mapInArrow(read, READ)
+    # A number of partitions that is named stays: the table of files is tiny, what each stands for is not.
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(read, READ)
 
 
 def archived(pages: DataFrame, **kwargs) -> tuple[DataFrame, str]:
