@@ -26,6 +26,8 @@ LANDMARKS, NEGATIVES, ROUNDS = 128, 20_000, 3
 REMEMBERED = 300_000
 #: Bytes of text whose new words are scored together.
 TOGETHER = 1 << 20
+#: How many deviations, and how many times as often as in clean texts, a word must stand in toxic ones to be a witness for sure.
+SURE, PURITY = 3.0, 9
 #: Rows of a matrix that a training step takes at a time.
 ROWS = 2048
 _LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
@@ -184,8 +186,8 @@ def _numbered(texts: Sequence[bytes]) -> tuple[list[bytes], list[np.ndarray], li
 def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = None) -> Model:
     """Learn from texts marked as a whole: in a toxic text at least one word is, in a clean one none.
 
-    The first witness of a toxic text is its word that is most over-represented in toxic texts; then machine and witnesses (the word
-    with the best margin) are found in turn. Landmarks are the witnesses and words of clean texts, drawn by a hash. rate: the share of toxic texts
+    The first witnesses of a toxic text are its words that stand SURE deviations more often in toxic texts than by chance, and PURITY times as often as in clean
+    ones, or else its most over-represented word; then machine and witnesses (words of positive margin, or the best) are found in turn. Landmarks are the witnesses and words of clean texts, drawn by a hash. rate: the share of toxic texts
     among all, if the sample has another. Without texts of both classes every score is the rate.
     """
     y = np.array([int(v) for v in labels])
@@ -203,13 +205,22 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
     place = np.empty(len(words), np.int64)
     place[by_word] = np.arange(len(words))
 
-    def witnesses(value):
-        return [int(ids[np.lexsort((place[ids], value[ids]))[-1]]) if label and len(ids) else None for ids, label in zip(seen, y, strict=True)]
+    n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
+    pure = in_toxic * n_clean >= PURITY * in_clean * n_toxic
 
-    witness = [None if i is None else words[i] for i in witnesses(lift)]
+    def witnesses(value, least):
+        """In how many toxic texts each word is a witness: all of a text's pure words of that value, or its best word if it has none."""
+        found: Counter = Counter()
+        for ids, label in zip(seen, y, strict=True):
+            if label and len(ids):
+                sure = ids[pure[ids] & (value[ids] >= least)]
+                found.update(sure.tolist() if len(sure) else [int(ids[np.lexsort((place[ids], value[ids]))[-1]])])
+        return Counter({words[i]: n for i, n in found.items()})
+
+    counts = witnesses(lift, SURE)
     clean = Counter({words[i]: int(in_clean[i]) for i in np.flatnonzero(in_clean)})
     negatives = sorted((w for w in clean if len(w) >= 3), key=lambda w: (-min(clean[w], 20), zlib.crc32(w)))[:NEGATIVES]
-    best = [w for w, _ in Counter(w for w in witness if w).most_common(LANDMARKS // 2)]
+    best = [w for w, _ in counts.most_common(LANDMARKS // 2)]
     marks = list(dict.fromkeys(best + sorted(negatives, key=zlib.crc32)[: LANDMARKS - len(best)]))
     dense = np.zeros((len(marks), SIZE + 1))
     for idx, code, value in features(marks):
@@ -232,7 +243,6 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
     low = coordinates(negatives)
     model = None
     for _ in range(ROUNDS):
-        counts = Counter(w for w in witness if w)
         high = list(counts)
         x = np.empty((len(high) + len(low), low.shape[1]))
         x[: len(high)], x[len(high) :] = coordinates(high), low
@@ -242,7 +252,7 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
         w = _newton(x, sign, weight, ridge=1.0)
         model = Model(np.append(w[:-1] @ project[:, :SIZE], 0.0), float(w[-1]), 1.0, 0.0, 0.0)
         margin = model.margins(words)
-        witness = [None if i is None else words[i] for i in witnesses(margin)]
+        counts = witnesses(margin, 0.0)
     two = np.array([(np.unique(margin[ids])[::-1].tolist() + [model.bias] * 2)[:2] for ids in seen])
     a, b, c = _logistic(np.c_[two, np.ones(len(two))], y)
     c += np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if 0 < prior < 1 else 0.0
