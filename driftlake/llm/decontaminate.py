@@ -130,7 +130,7 @@ def words_hit(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["sum"])
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 2, **kwargs) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 1, **kwargs) -> DataFrame:
     """The documents (all columns) with windows of fewer than least_items items; kwargs as for contamination()."""
     mark, row = fresh(documents, "mark", "row")
     marked = numbered(documents, row)
