@@ -18,9 +18,13 @@ from driftlake.sources.tables import settled
 BLOCK = 2048
 
 
-def points_of(first: DataFrame, second: DataFrame, features: Sequence[str]) -> DataFrame:
-    """id (from 0, in the order of the coordinates), x, in_1, in_2 for the distinct points of both samples. Rows with nulls are left out."""
-    side = lambda df, one: df.select(F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.lit(one).alias("in_1"), F.lit(1 - one).alias("in_2")).where(F.forall("x", lambda v: v.isNotNull()))
+def points_of(first: DataFrame, second: DataFrame, features: Sequence[str] | str) -> DataFrame:
+    """id (from 0, in the order of the coordinates), x, in_1, in_2 for the distinct points of both samples. Rows with nulls are left out.
+
+    features: columns of numbers, or the name of one column of arrays that are all of one length.
+    """
+    x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(f).cast("double") for f in features))
+    side = lambda df, one: df.select(x.alias("x"), F.lit(one).alias("in_1"), F.lit(1 - one).alias("in_2")).where(F.forall("x", lambda v: v.isNotNull()))
     distinct = side(first, 1).unionByName(side(second, 0)).groupBy("x").agg(F.max("in_1").alias("in_1"), F.max("in_2").alias("in_2"))
     return settled(with_index(distinct, ["x"], "id"), "points")
 
@@ -133,8 +137,8 @@ def drift_threshold(distances: Sequence[float], alpha: float) -> float:
     return normal_quantile(1 - alpha, mean, float(np.std(distances)))
 
 
-def nndvi(df: DataFrame, batch: str, features: Sequence[str], k_nn: int = 30, sampling_times: int = 500, alpha: float = 0.01, seed: int = 0) -> DataFrame:
-    """batch, total, since, distance, threshold, verdict: every batch against the reference, at first the first batch; after drift the drifted one."""
+def nndvi(df: DataFrame, batch: str, features: Sequence[str] | str, k_nn: int = 30, sampling_times: int = 500, alpha: float = 0.01, seed: int = 0) -> DataFrame:
+    """batch, total, since, distance, threshold, verdict: every batch against the reference, at first the first batch; after drift the drifted one. features as for points_of()."""
     spark = df.sparkSession
     names = batch_numbers(df, batch)
     out, total, since, ref, drifted = [], 0, 0, None, False

@@ -88,26 +88,38 @@ def kdq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdq.kdq_batches(lines(spark, sf_dir), "year", FEATURES, bootstrap_samples=100, count_ubound=200)
 
 
-def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _embeddings(spark: SparkSession, sf_dir: str, width: int | None = None) -> DataFrame:
+    """vec_id, label, x: the whole vector, or its first width components."""
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return t.select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(3)))
+    x = F.col("embedding").cast("array<double>") if width is None else F.array(*(F.get("embedding", F.lit(i)).cast("double") for i in range(width)))
+    return t.select("vec_id", "label", x.alias("x"))
 
 
-def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.array("x0", "x1", "x2").alias("x"))
-    return nn.neighbours(points, 5).select("src", "dst", F.col("rank").cast("long").alias("rank"))
+def _knn_edges(width: int | None = None):
+    """The 5 nearest of every vector."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = _embeddings(spark, sf_dir, width).select(F.col("vec_id").alias("id"), "x")
+        return nn.neighbours(points, 5).select("src", "dst", F.col("rank").cast("long").alias("rank"))
+
+    return query
 
 
-def nnps_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nnps_density(width: int | None = None):
     """For every vector, how many of the even and of the odd labels have it among their 5 nearest."""
-    t = _embeddings(spark, sf_dir)
-    points = t.select(F.col("vec_id").alias("id"), F.array("x0", "x1", "x2").alias("x"), (F.col("label") % 2 == 0).cast("long").alias("in_1"), (F.col("label") % 2 != 0).cast("long").alias("in_2"))
-    return nn.shared_density(nn.neighbours(points.select("id", "x"), 5), points)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _embeddings(spark, sf_dir, width)
+        points = t.select(F.col("vec_id").alias("id"), "x", (F.col("label") % 2 == 0).cast("long").alias("in_1"), (F.col("label") % 2 != 0).cast("long").alias("in_2"))
+        return nn.shared_density(nn.neighbours(points.select("id", "x"), 5), points)
+
+    return query
 
 
 def nndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole vectors, in batches by label."""
     t = _embeddings(spark, sf_dir).withColumn("batch", F.pmod("label", F.lit(3)))
-    return nn.nndvi(t, "batch", ["x0", "x1", "x2"], k_nn=5, sampling_times=50)
+    return nn.nndvi(t, "batch", "x", k_nn=5, sampling_times=50)
 
 
 def ensemble_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +191,11 @@ QUERIES = {
     "kdq_nodes": kdq_nodes,
     "kdq_fill": kdq_fill,
     "kdq_batch": kdq_batch,
-    "knn_edges": knn_edges,
-    "nnps_density": nnps_density,
+    # The SQL of knn_edges and nnps_density reads three components of each vector, and so do they; the _whole ones read all.
+    "knn_edges": _knn_edges(3),
+    "nnps_density": _nnps_density(3),
+    "knn_edges_whole": _knn_edges(),
+    "nnps_density_whole": _nnps_density(),
     "nndvi": nndvi,
     "ensemble_batch": ensemble_batch,
     "inject_shift": inject_shift,

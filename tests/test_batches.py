@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftlake.functions import density, hashrng
 from driftlake.operators import ensemble, hdm, inject, kdq, md3, nn
+from driftlake.plans import batches as batch_queries
 from driftlake.plans import schema
 from driftlake.sources import datasets
 
@@ -184,6 +185,26 @@ def test_members(spark):
     assert rows[0].drift_states == {"a": "drift", "b": "warning"} and list(rows[0].retraining_recs) == ["a"] and rows[1].verdicts == [None, None]
 
 
+def test_whole_vectors_against_brute_force(spark):
+    """sf0.001; with the first three components alone the neighbours and the distance are other ones."""
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, labels, x = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    nearest = lambda x, k: ((x[:, None] - x[None]) ** 2).sum(2).argsort(1, kind="stable")[:, :k]
+    near = nearest(x, 5)
+    got = {(r.src, r["rank"]): r.dst for r in batch_queries.QUERIES["knn_edges_whole"](spark, d).collect()}
+    assert got == {(ids[i], j + 1): ids[near[i, j]] for i in range(len(x)) for j in range(5)}
+    dense = {r.dst: (r.a, r.b) for r in batch_queries.QUERIES["nnps_density_whole"](spark, d).collect()}
+    assert dense == {ids[j]: tuple(int((labels[(near == j).any(1)] % 2 == odd).sum()) for odd in (0, 1)) for j in set(near.ravel())}
+    first = batch_queries.QUERIES["nndvi"](spark, d).orderBy("total").first()
+    both = labels % 3 <= 1
+    points, where = np.unique(x[both], axis=0, return_inverse=True)
+    ones, twos = (np.isin(np.arange(len(points)), where.ravel()[labels[both] % 3 == b]) for b in (0, 1))
+    near = nearest(points, 5)
+    a, b = (np.bincount(near[side].ravel(), minlength=len(points)) for side in (ones, twos))
+    assert abs(first.distance - np.mean((np.abs(a - b) / np.maximum(a + b, 1))[a + b > 0])) < 1e-9
+
+
 def test_md3(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 0), (1.0, 1.0, 0), (5.0, 6.0, 1), (6.0, 7.0, 1), (3.0, 4.0, 1)], "var1 double, var2 double, y int")
     far = md3.Linear((10.0, 10.0), -45.0)
