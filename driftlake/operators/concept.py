@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from driftlake.functions.hashrng import uniform_of
 from driftlake.operators.change import Adwin
 from driftlake.operators.fold import Detector
+from driftlake.operators.md3 import scored_statistics
 
 LABELS = ("y_true", "y_pred")
 
@@ -211,32 +213,35 @@ class MarginDensity(Detector):
 
     inputs: kind ("sample" or "oracle"), inside (1 if a sample lies in the margin), right (1 if the classifier is right on an oracle's row). md, md_std, acc, acc_std, length:
     statistics of the reference (see md3.reference_statistics). A warning asks for oracle_length labelled rows; then drift is confirmed or ruled out by accuracy
-    and the oracle's rows are the reference, with the statistics that `restate` gives for (share inside, accuracy), by default md and acc of those rows with the
-    deviations kept. Samples while labels are awaited raise ValueError, or are passed over with strict=False; so are labels that nobody asked for.
+    and the oracle's rows are the reference, with the statistics md, md_std, acc and acc_std that `restate` gives for them, a list of (inside, right, *carry). By default these are
+    taken over k folds of the rows as scored, which is right for a classifier with nothing to learn; for one that learns, carry names its features and label as further inputs and
+    restate refits it on each fold, as with md3.refit_statistics. The state holds the rows of a round, oracle_length at most.
+    Samples while labels are awaited raise ValueError, or are passed over with strict=False; so are labels that nobody asked for.
     """
 
     inputs = ("kind", "inside", "right")
     extra = "margin_density double, waiting boolean, labelled long"
 
-    def __init__(self, md: float, md_std: float, acc: float, acc_std: float, length: int, sensitivity: float = 2, oracle_length: int | None = None, strict: bool = True):
+    def __init__(self, md: float, md_std: float, acc: float, acc_std: float, length: int, sensitivity: float = 2, oracle_length: int | None = None, strict: bool = True, restate: Callable[[list], dict[str, float]] = scored_statistics, carry: Sequence[str] = ()):
+        self.inputs, self.restate = (*MarginDensity.inputs, *carry), restate
         self.ref = {"md": float(md), "md_std": float(md_std), "acc": float(acc), "acc_std": float(acc_std), "len": int(length)}
         self.sensitivity, self.oracle_length, self.strict = sensitivity, oracle_length or length, strict
 
     def lasting(self):
-        return {"ref": dict(self.ref), "md": self.ref["md"], "waiting": False, "asked": [0, 0, 0]}
+        return {"ref": dict(self.ref), "md": self.ref["md"], "waiting": False, "asked": []}
 
     def reset(self, s):
         super().reset(s)
         s["md"] = s["ref"]["md"]
 
-    def step(self, s, kind, inside, right):
+    def step(self, s, kind, inside, right, *more):
         if (kind == "sample") == s["waiting"]:
             if self.strict:
                 raise ValueError("labels are awaited" if s["waiting"] else "no labels were asked for")
         elif kind == "sample":
             return super().step(s, inside)
         else:
-            self.label(s, inside, right)
+            self.label(s, inside, right, *more)
         return (s["verdict"], s["total"], s["since"], s["first"], s["last"], *self.report(s))
 
     def observe(self, s, inside):
@@ -245,19 +250,18 @@ class MarginDensity(Detector):
         if abs(s["md"] - s["ref"]["md"]) > self.sensitivity * s["ref"]["md_std"]:
             s["verdict"], s["waiting"] = "warning", True
 
-    def label(self, s, inside, right):
+    def label(self, s, inside, right, *more):
         s["verdict"] = None
-        n, marked, good = s["asked"]
-        n, marked, good = n + 1, marked + int(inside), good + int(right)
-        s["asked"] = [n, marked, good]
+        s["asked"].append([int(inside), int(right), *more])
+        n = len(s["asked"])
         if n == self.oracle_length:
-            if s["ref"]["acc"] - good / n > self.sensitivity * s["ref"]["acc_std"]:
+            if s["ref"]["acc"] - sum(r[1] for r in s["asked"]) / n > self.sensitivity * s["ref"]["acc_std"]:
                 s["verdict"] = "drift"
-            s["ref"] = {**s["ref"], "md": marked / n, "acc": good / n, "len": n}
-            s["md"], s["waiting"], s["asked"] = s["ref"]["md"], False, [0, 0, 0]
+            s["ref"] = {**{c: float(v) for c, v in self.restate(s["asked"]).items() if c in s["ref"]}, "len": n}
+            s["md"], s["waiting"], s["asked"] = s["ref"]["md"], False, []
 
     def report(self, s):
-        return s["md"], s["waiting"], s["asked"][0]
+        return s["md"], s["waiting"], len(s["asked"])
 
 
 def four_rates_trace(df: DataFrame, key: str, order: list[str], y_true: Column, y_pred: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.functions.hashrng import uniform
+from driftlake.functions.hashrng import uniform, uniform_of
 
 
 class Linear(NamedTuple):
@@ -75,3 +75,38 @@ def reference_statistics(df: DataFrame, features: Sequence[str], label: str, k:
     mean = lambda v: sum(v) / len(v)
     sd = lambda v: (sum((x - mean(v)) ** 2 for x in v) / len(v)) ** 0.5
     return {"length": n, "md": mean(md), "md_std": sd(md), "acc": mean(acc), "acc_std": sd(acc)}
+
+
+def folds_of(n: int, k: int, seed: int = 42) -> list[list[int]]:
+    """The numbers 0 to n - 1 in k equal parts of a hash order, in n parts if there are fewer than k."""
+    order = sorted(range(n), key=lambda i: (uniform_of(seed, i), i))
+    k = min(k, n)
+    return [order[n * i // k : n * (i + 1) // k] for i in range(k)]
+
+
+def fold_moments(inside: Sequence[Sequence[float]], right: Sequence[Sequence[float]]) -> dict[str, float]:
+    """md, md_std, acc, acc_std (population deviations) of the folds' values."""
+    mean = lambda v: sum(v) / len(v)
+    md, acc = ([mean(part) for part in parts] for parts in (inside, right))
+    sd = lambda v: (sum((x - mean(v)) ** 2 for x in v) / len(v)) ** 0.5
+    return {"md": mean(md), "md_std": sd(md), "acc": mean(acc), "acc_std": sd(acc)}
+
+
+def scored_statistics(rows: Sequence[Sequence], k: int = 10, seed: int = 42) -> dict[str, float]:
+    """Statistics over k folds of rows (inside, right) of a classifier that has nothing to learn."""
+    parts = folds_of(len(rows), k, seed)
+    return fold_moments([[float(rows[i][0]) for i in p] for p in parts], [[float(rows[i][1]) for i in p] for p in parts])
+
+
+def refit_statistics(rows: Sequence[Sequence], fit: Callable[[list, list], Callable], k: int = 10, seed: int = 42) -> dict[str, float]:
+    """Statistics over k folds of rows (inside, right, x, y), at least two: fit(xs, ys) learns from the other folds and gives score(x) -> (inside, label)."""
+    if len(rows) < 2:
+        raise ValueError("fewer than two rows")
+    inside, right = [], []
+    for part in folds_of(len(rows), k, seed):
+        rest = [r for i, r in enumerate(rows) if i not in set(part)]
+        score = fit([r[2] for r in rest], [r[3] for r in rest])
+        found = [(score(rows[i][2]), rows[i][3]) for i in part]
+        inside.append([float(s[0]) for s, _ in found])
+        right.append([float(s[1] == y) for s, y in found])
+    return fold_moments(inside, right)

@@ -60,7 +60,10 @@ def md3_margin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md3_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third event is a labelled row; those that nobody asked for, and samples while labels are awaited, are passed over."""
+    """Every third event is a labelled row; those that nobody asked for, and samples while labels are awaited, are passed over.
+
+    The predictions are a fixed rule with nothing to refit: after a round the reference is stated anew over folds of the 5 rows as scored.
+    """
     step = concept.MarginDensity(md=0.2, md_std=0.05, acc=0.8, acc_std=0.1, length=20, oracle_length=5, strict=False)
     found = run_fold(events(spark, sf_dir), step, KEY, ORDER, {"kind": "IF(event_id % 3 = 0, 'oracle', 'sample')", "inside": "CAST(abs(value - 50) <= 10 AS INT)", "right": f"CAST({Y_TRUE} = {Y_PRED} AS INT)"})
     return found.select("user_id", "event_id", "verdict", "total", "since", "margin_density", "waiting", "labelled")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from driftlake.functions import stats
-from driftlake.operators import change, concept, ensemble, kdq, pca_cd
+from driftlake.operators import change, concept, ensemble, kdq, md3, pca_cd
 from driftlake.streaming.stateful import decode, encode
 
 CORRECT, WRONG = (1, 1), (0, 1)
@@ -138,6 +138,30 @@ def test_margin_density_protocol():
     assert loose.step(s, "oracle", 0, 0)[1] == 0
 
 
+def test_margin_density_restates_its_reference():
+    step = concept.MarginDensity(md=0.0, md_std=0.0, acc=0.8, acc_std=0.1, length=5, oracle_length=4)
+    s = step.start()
+    step.step(s, "sample", 1, 0)
+    for inside, right in ((1, 1), (0, 1), (0, 0), (0, 1)):
+        step.step(s, "oracle", inside, right)
+    sd = 0.1875**0.5  # four folds of one row: 1, 0, 0, 0 and 1, 1, 0, 1
+    assert s["ref"] == pytest.approx({"md": 0.25, "md_std": sd, "acc": 0.75, "acc_std": sd, "len": 4})
+    assert step.step(s, "sample", 1, 0)[0] is None  # 0.4375: within two of the new deviations, far beyond the old
+
+
+def test_margin_density_refits_on_folds():
+    def fit(xs, ys):
+        at = (max(x for x, y in zip(xs, ys, strict=True) if not y) + min(x for x, y in zip(xs, ys, strict=True) if y)) / 2
+        return lambda x: (abs(x - at) <= 1, int(x > at))
+
+    step = concept.MarginDensity(md=0.0, md_std=0.0, acc=1.0, acc_std=0.1, length=5, oracle_length=4, restate=lambda rows: md3.refit_statistics(rows, fit, k=4), carry=("x", "y"))
+    s = step.start()
+    assert step.inputs == ("kind", "inside", "right", "x", "y") and step.step(s, "sample", 1, 0, 0.0, 0)[0] == "warning"
+    found = [step.step(s, "oracle", 0, 0, x, y)[0] for x, y in ((0.0, 0), (2.0, 0), (3.0, 1), (9.0, 1))]
+    # without 0: 2.5, right; without 2: 1.5, in the margin and wrong; without 3: 5.5, wrong; without 9: 2.5, right
+    assert found == [None, None, None, "drift"] and s["ref"] == pytest.approx({"md": 0.25, "md_std": 0.1875**0.5, "acc": 0.5, "acc_std": 0.5, "len": 4})
+
+
 def test_confirmed_election():
     d, w = "drift", "warning"
     assert verdicts(ensemble.Confirmed(2, 10), [([d, None, None],), ([d, d, None],)]) == [None, d]
