@@ -85,7 +85,7 @@ def kdq_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kdq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kdq.kdq_batches(lines(spark, sf_dir), "year", FEATURES, bootstrap_samples=100, count_ubound=200)
+    return kdq.kdq_batches(lines(spark, sf_dir), "year", FEATURES, count_ubound=200)
 
 
 def _embeddings(spark: SparkSession, sf_dir: str, width: int | None = None) -> DataFrame:
@@ -119,13 +119,13 @@ def _nnps_density(width: int | None = None):
 def nndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the whole vectors, in batches by label."""
     t = _embeddings(spark, sf_dir).withColumn("batch", F.pmod("label", F.lit(3)))
-    return nn.nndvi(t, "batch", "x", k_nn=5, sampling_times=50)
+    return nn.nndvi(t, "batch", "x")
 
 
 def ensemble_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lines(spark, sf_dir)
     d3 = hdm.hdddm(t, "year", FEATURES, detect_batch=3).select("batch", "verdict")
-    tree = kdq.kdq_batches(t, "year", FEATURES, bootstrap_samples=100, count_ubound=200).select("batch", "verdict")
+    tree = kdq.kdq_batches(t, "year", FEATURES, count_ubound=200).select("batch", "verdict")
     return ensemble.batch_ensemble({"hdddm": d3, "kdq": tree}, "batch", ensemble.minimum(1)).select("batch", "verdict")
 
 

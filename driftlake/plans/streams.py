@@ -18,6 +18,8 @@ CUSUM = change.Cusum(target=50, sd_hat=30, burn_in=10, threshold=4, replay=False
 DDM = concept.Ddm(n_threshold=10, warning_scale=1.1, drift_scale=1.5)
 EDDM = concept.Eddm(n_threshold=5)
 STEPD = concept.Stepd(window_size=10, alpha_warning=0.2, alpha_drift=0.05)
+LFR = concept.LinearFourRates(burn_in=10, detect_level=0.01)
+KDQ_STREAM = kdq.KdqStream(20, count_ubound=5, alpha=0.1)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +104,10 @@ QUERIES = {
     "adwin_verdict": folded(change.Adwin(delta=0.3, new_sample_thresh=4), {"x": "value"}, "window_size", "mean", "variance"),
     "adwin_accuracy": folded(concept.AdwinAccuracy(delta=0.9, new_sample_thresh=4), LABELS, "window_size", "mean", "variance"),
     "lfr_rates": lfr_rates,
-    "lfr_verdict": folded(concept.LinearFourRates(burn_in=10, num_mc=500, subsample=5, detect_level=0.01), LABELS, "r_tpr", "r_tnr", "r_ppv", "r_npv"),
+    "lfr_verdict": folded(LFR, LABELS, "r_tpr", "r_tnr", "r_ppv", "r_npv"),
     "md3_margin_density": md3_margin_density,
     "md3_oracle": md3_oracle,
-    "kdq_stream": folded(kdq.KdqStream(20, bootstrap_samples=50, count_ubound=5, alpha=0.1), THREE, "distance", "critical"),
+    "kdq_stream": folded(KDQ_STREAM, THREE, "distance", "critical"),
     "pca_cd_kl": folded(pca_cd.PcaCd(20, delta=0.01), THREE, "change_score"),
     "pca_cd_intersection": folded(pca_cd.PcaCd(20, delta=0.01, divergence_metric="intersection"), THREE, "change_score"),
     "elect_majority": elected(ensemble.majority()),

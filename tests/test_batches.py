@@ -200,11 +200,25 @@ def test_whole_vectors_against_brute_force(spark):
     both = labels % 3 <= 1
     points, where = np.unique(x[both], axis=0, return_inverse=True)
     ones, twos = (np.isin(np.arange(len(points)), where.ravel()[labels[both] % 3 == b]) for b in (0, 1))
-    near = nearest(points, 5)
+    near = nearest(points, 30)
     a, b = (np.bincount(near[side].ravel(), minlength=len(points)) for side in (ones, twos))
     assert abs(first.distance - np.mean((np.abs(a - b) / np.maximum(a + b, 1))[a + b > 0])) < 1e-9
 
 
+def test_queries_draw_as_often_as_the_defaults(spark, monkeypatch):
+    """kdq_batch, ensemble_batch and nndvi take the draws and neighbours of the operators' defaults, 500 and 30."""
+    draws, near = [], []
+    critical, permuted, neighbours = kdq.critical_value, nn.permuted_distances, nn.neighbours
+    monkeypatch.setattr(kdq, "critical_value", lambda counts, size, alpha, samples, seed: draws.append(samples) or critical(counts, size, alpha, samples, seed))
+    monkeypatch.setattr(nn, "permuted_distances", lambda edges, n, ones, times, seed: draws.append(times) or permuted(edges, n, ones, times, seed))
+    monkeypatch.setattr(nn, "neighbours", lambda points, k: near.append(k) or neighbours(points, k))
+    for name in ("kdq_batch", "ensemble_batch", "nndvi"):
+        draws.clear()
+        batch_queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert set(draws) == {500}, name
+    assert set(near) == {30}
+
+
 def test_md3(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 0), (1.0, 1.0, 0), (5.0, 6.0, 1), (6.0, 7.0, 1), (3.0, 4.0, 1)], "var1 double, var2 double, y int")
     far = md3.Linear((10.0, 10.0), -45.0)

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from driftlake.functions import stats
 from driftlake.operators import change, concept, ensemble, kdq, md3, pca_cd
+from driftlake.plans import streams
 from driftlake.streaming.stateful import decode, encode
 
 CORRECT, WRONG = (1, 1), (0, 1)
@@ -162,6 +163,11 @@ def test_margin_density_refits_on_folds():
     assert found == [None, None, None, "drift"] and s["ref"] == pytest.approx({"md": 0.25, "md_std": 0.1875**0.5, "acc": 0.5, "acc_std": 0.5, "len": 4})
 
 
+def test_registered_queries_simulate_as_often_as_the_defaults():
+    assert (streams.LFR.num_mc, streams.LFR.subsample) == (10_000, 1)
+    assert streams.KDQ_STREAM.samples == 500
+
+
 def test_confirmed_election():
     d, w = "drift", "warning"
     assert verdicts(ensemble.Confirmed(2, 10), [([d, None, None],), ([d, d, None],)]) == [None, d]
