@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (one machine, tests)."""
+    """The folder named by spark.checkpoint.dir, which all machines see. Only where that is unset and there is but one machine, a local one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not known and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} it must name a folder that all machines share")
     return (known or f"file://{tempfile.gettempdir()}/driftlake-shared").rstrip("/")
 
 
