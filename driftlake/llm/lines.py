@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from driftlake.llm.shared import fresh, let, numbered, written
 
+#: White space at the ends of a line, which does not count.
+BLANK = " \t\r\x0b\x0c"
 #: Lines with a boilerplate decision up to which their table (16 bytes a row) is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -14,7 +16,7 @@ BROADCAST_ROWS = 1_000_000
 def _lines(df: DataFrame, text_col: str, least_chars: int, *others) -> DataFrame:
     """others, at, a, b for every line that counts; (a, b) is a hash of 128 bits of the line without white space at its ends."""
     cut = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    inside = df.select(*others, F.posexplode(cut).alias("at", "line")).withColumn("line", F.trim("line"))
+    inside = df.select(*others, F.posexplode(cut).alias("at", "line")).withColumn("line", F.btrim("line", F.lit(BLANK)))
     return inside.where(F.char_length("line") >= least_chars).withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")}).drop("line")
 
 
@@ -50,7 +52,7 @@ def _left(lines: Column, gone: Column) -> Column:
 def without_spread_lines(df: DataFrame, site_col: str = "source", text_col: str = "text", least_sites: int = 5, least_chars: int = 1, **kwargs) -> tuple[DataFrame, str, str]:
     """df, all columns, with the text that is left and the numbers of lines before and removed; and the names of these two columns.
 
-    Lines end at line feeds; a line of fewer than least_chars characters (spaces at its ends aside) always stays. The other lines keep their order.
+    Lines end at line feeds; a line of fewer than least_chars characters (white space at its ends aside) always stays. The other lines keep their order.
     Null texts stay null and have no lines. Only places of removed lines are gathered per document, and they are no more than its lines.
     """
     row, number, gone, n, removed = fresh(df, "row", "number", "gone", "n_lines", "n_removed")
