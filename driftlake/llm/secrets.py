@@ -32,8 +32,12 @@ class CharClass(NamedTuple):
 
 
 CLASSES = (CharClass("entropy_hex", "0-9A-Fa-f", 20, 2.9), CharClass("entropy_base64", "A-Za-z0-9+/_=-", 20, 3.8))
-#: A candidate that matches one of these is no secret: UUIDs, digests named as such, placeholders.
-ALLOWED = (r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"^sha(?:1|256|384|512)-", r"(?i:example|placeholder|changeme|dummy|xxxx)", r"^(.)\1+$")
+#: A candidate that matches one of these is no secret: UUIDs, digests named as such, one character again and again.
+ALLOWED = (r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"^sha(?:1|256|384|512)-", r"^(.)\1+$")
+#: Windows that touch one of these words are no secret; the rest of the candidate is looked at all the same.
+WORDS = r"(?i:example|placeholder|changeme|dummy|xxxx)"
+#: Places whose running values are found at a time.
+BLOCK = 128
 
 
 def _empty() -> Column:
@@ -44,19 +48,54 @@ def _span(start: Column, rank: int, kind: str, end: Column) -> Column:
     return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
 
 
+def _running(values: Column, join) -> Column:
+    """array<int>: for each place, join (associative, 0 its neutral element) of the values up to it.
+
+    An array can only grow by being copied, so places are taken in blocks, and blocks among each other: n places cost some n * BLOCK / 2 + (n / BLOCK)^2 / 2.
+    """
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def along(xs):
+        def step(acc, x):
+            now = join(acc["last"], x)
+            return F.struct(now.alias("last"), F.array_append(acc["out"], now).alias("out"))
+
+        return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+    def blocks(xs):
+        n = F.floor((F.size(xs) + BLOCK - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda b: along(F.slice(xs, (b - 1) * BLOCK + 1, BLOCK)))
+
+    def put_together(parts):
+        ends = F.transform(parts, lambda p: F.coalesce(F.get(p, F.size(p) - 1), F.lit(0)))
+        before = lambda sums, b: F.coalesce(F.get(sums, b - 1), F.lit(0))
+        return let(along(ends), lambda sums: F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda x: join(before(sums, b), x)))))
+
+    return let(values, lambda xs: let(blocks(xs), put_together))
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, whole, part>> of the leftmost matches, in order: what lies between them tells where they are."""
     p = F.lit(pattern)
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(group)).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,whole:string,part:string>>").alias("out"))
+    length = lambda x: F.coalesce(F.char_length(x), F.lit(0))
+
+    def placed(all_of):
+        ends = _running(F.transform(all_of, lambda x: length(x["gap"]) + length(x["whole"])), lambda a, b: a + b)
+        hits = let(ends, lambda e: F.transform(all_of, lambda x, i: F.struct((F.get(e, i) - length(x["whole"])).alias("start"), x["whole"].alias("whole"), x["part"].alias("part"))))
+        return F.filter(hits, lambda h: h["whole"].isNotNull())
+
+    return let(both, placed)
 
-    def step(acc, x):
-        at = acc["at"] + F.char_length(x["gap"])
-        hit = F.struct(at.alias("start"), x["whole"].alias("whole"), x["part"].alias("part"))
-        more = x["whole"].isNotNull()
-        return F.struct((at + F.coalesce(F.char_length(x["whole"]), F.lit(0))).alias("at"), F.when(more, F.array_append(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+def _between(text: Column, pattern: str) -> Column:
+    """array<struct<start, whole>> of what lies between the matches, in order."""
+
+    def placed(both):
+        ends = _running(F.transform(both, lambda x: F.char_length(x["gap"]) + F.coalesce(F.char_length(x["hit"]), F.lit(0))), lambda a, b: a + b)
+        return let(ends, lambda e: F.transform(both, lambda x, i: F.struct((F.get(e, i) - F.char_length(x["gap"]) - F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("start"), x["gap"].alias("whole"))))
+
+    return let(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")), placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -100,31 +139,41 @@ def hot_range(run: Column, window: int, threshold: float) -> Column:
     return let(F.split(run, ""), scan)
 
 
-def entropy_spans(text: Column, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED, ranks_from: int = len(BASE)) -> Column:
-    """Spans of high entropy: from the first to the last hot window of each candidate that no pattern of allowed suppresses."""
+def entropy_spans(text: Column, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED, words: str | None = WORDS, ranks_from: int = len(BASE)) -> Column:
+    """Spans of high entropy: from the first to the last hot window of each candidate that no pattern of allowed suppresses, or of each part of it between words."""
 
     def of(rank, c):
         pattern = f"[{c.chars}]{{{c.window},}}"
         kept = _matches(text, pattern, 0)
         if allowed:
             kept = F.filter(kept, lambda m: ~any_of([m["whole"].rlike(a) for a in allowed]))
-        hot = F.transform(kept, lambda m: F.struct(m["start"].alias("at"), hot_range(m["whole"], c.window, c.threshold).alias("hot")))
+        runs = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["whole"].alias("whole")))
+        if words:
+            part = lambda m: F.transform(_between(m["whole"], words), lambda x: F.struct((m["start"] + x["start"]).alias("start"), x["whole"].alias("whole")))
+            parts = F.transform(runs, lambda m: F.when(m["whole"].rlike(words), part(m)).otherwise(F.array(m)))
+            runs = F.filter(F.flatten(parts), lambda m: F.char_length(m["whole"]) >= c.window)
+        hot = F.transform(runs, lambda m: F.struct(m["start"].alias("at"), hot_range(m["whole"], c.window, c.threshold).alias("hot")))
         spans = F.transform(F.filter(hot, lambda h: h["hot"]["first"].isNotNull()), lambda h: _span(h["at"] + h["hot"]["first"], rank, c.kind, h["at"] + h["hot"]["last"]))
         return F.when(text.rlike(pattern), spans.cast(SPAN)).otherwise(_empty())
 
     return F.concat(*(of(rank, c) for rank, c in enumerate(classes, ranks_from)))
 
 
-def secret_spans(text: Column, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED) -> Column:
+def secret_spans(text: Column, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED, words: str | None = WORDS) -> Column:
     """struct<base, all>: spans of the patterns, and these with those of high entropy that no span of a pattern covers; by start, then kind.
 
-    Null texts count as empty. Everything is found in one row without a shuffle; equal texts have equal spans.
+    Null texts count as empty. Everything is found in one row without a shuffle, in time that grows with the text and its matches; equal texts have equal spans.
     """
     t = F.coalesce(text, F.lit(""))
 
+    def uncovered(spans):
+        ends = _running(F.transform(spans, lambda s: F.when(s["rank"] < len(BASE), s["end"]).otherwise(F.lit(0))), F.greatest)
+        return let(ends, lambda e: F.filter(spans, lambda s, i: (s["rank"] < len(BASE)) | (F.get(e, i) < s["end"])))
+
     def both(base):
-        new = F.filter(entropy_spans(t, classes, allowed), lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-        return F.struct(base.alias("base"), F.array_sort(F.concat(base, new)).alias("all"))
+        hot = entropy_spans(t, classes, allowed, words)
+        every = let(hot, lambda h: F.when(F.size(h) == 0, base).otherwise(let(F.array_sort(F.concat(base, h)), uncovered)))
+        return F.struct(base.alias("base"), every.alias("all"))
 
     return let(base_spans(t), both)
 
