@@ -19,6 +19,10 @@ MAGIC = 0x184D2A5D
 #: Records that a writer holds back to make its dictionary from, and their bytes at most; its size; bytes after which an archive is closed.
 TRAIN_RECORDS, TRAIN_BYTES, DICT_BYTES, ARCHIVE_BYTES = 2000, 4 << 20, 64 << 10, 256 << 20
 LEAST_REVISIT = 1000
+#: Repeated payloads up to which their table (some 100 bytes a row) is broadcast.
+BROADCAST_ROWS = 200_000
+#: Schemes of Hadoop's file systems that the Python workers know by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -27,15 +31,17 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, payload, n, digest, record_type, refers_to for every page.
 
     Of records with equal payloads of at least `least` bytes (null: empty), those with the largest id are responses, the others revisit it.
-    Payloads are told apart by SHA-1, another hash and length. Without any id among them all are responses; repeated rows are alike. The
-    join on the digest is one that can be split where one payload holds many rows.
+    Payloads are told apart by SHA-1, another hash and length. Without any id among them all are responses; repeated rows are alike. Only
+    digests are shuffled: those that repeat, one row each, are counted and broadcast while they are BROADCAST_ROWS at most; more are met by a join of the pages that can
+    be split where one payload holds many rows.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     keyed = rows.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.sha1("payload"), "other": F.xxhash64("payload")})
     keys = ["digest", "other", "n"]
-    first = keyed.where(F.col("n") >= least).groupBy(*keys).agg(F.max("id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-    joined = keyed.join(first, keys, "left")
+    repeated = keyed.where(F.col("n") >= least).groupBy(*keys).agg(F.max("id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    first, _ = written(repeated, "repeated")
+    joined = keyed.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, keys, "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return joined.select("id", "url", "payload", "n", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -78,16 +84,20 @@ def dictionary(records: list[bytes]):
 
 
 def _file_system(uri: str):
+    """File system and path for the workers: local folders, S3 (s3a too), gs, abfs, hdfs (which needs libhdfs on every machine) and dbfs (by its mount)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    if uri.startswith("dbfs:/"):
+        return fs.LocalFileSystem(), "/dbfs/" + uri.removeprefix("dbfs:").lstrip("/")
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_archives(records: DataFrame, uri: str) -> DataFrame:
     """Writes the rows of decided() under uri and returns file, records, bytes of every archive.
 
-    Each partition is one or more files: a leading skippable frame with the dictionary, made from the first records of the partition (rows come
-    dealt by a hash) and compressed itself, then one frame per record. A lost task is run again and writes files of other names; only those
+    Each partition is one or more files: a leading skippable frame with the dictionary, made from the first records of the partition
+    and compressed itself, then one frame per record. A lost task is run again and writes files of other names; only those
     in the table that is returned, which Spark commits once, count. Memory: a batch of rows, and the records for the dictionary.
     """
 
