@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.llm.shared import ascii_lower, fresh, let, numbered, written
+from driftlake.llm.shared import all_of, ascii_lower, fresh, let, numbered, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of the filter of test fingerprints: 32 for each, within these bounds (8 KB and 2 MB); beyond, it lets more through, to the exact join.
-LEAST_BITS, MOST_BITS = 16, 24
-#: Distinct test windows up to which their table (some 32 bytes a row) is broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: Bits of the filter of test fingerprints: 32 for each, within these bounds (8 KB and 32 MB); beyond 8 million fingerprints it lets more through, to the exact join.
+LEAST_BITS, MOST_BITS = 16, 28
+#: Distinct test fingerprints up to which their table (some 150 bytes a row) is broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -28,10 +28,39 @@ def _starts(h: Column, n: int) -> Column:
     return F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
 
 
-def winnowed(h: Column, window: int, k: int) -> Column:
-    """For every window of that many words the least hash of its k-grams: any shared span of window words has the same one in both texts."""
+def spots(h: Column, window: int, k: int, wanted) -> Column:
+    """array<struct<at, fp, near>>: winnowed fingerprints of the word hashes h that wanted() lets pass.
+
+    For every window of that many words the least hash of its k-grams (the first, if several) is kept: any shared span of window words has the same one at the same
+    place in both texts. near: the word hashes that any such window can hold, from window - k words before at to window words after (null beyond the text).
+    """
     grams = F.transform(_starts(h, k), lambda i: _hash_at(h, i, k))
-    return let(grams, lambda g: F.transform(_starts(h, window), lambda i: F.least(*(F.get(g, i + j) for j in range(window - k + 1)))))
+
+    def of(g):
+        least = F.transform(_starts(h, window), lambda i: F.least(*(F.get(g, i + j) for j in range(window - k + 1))))
+
+        def places(m):
+            chosen = F.filter(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0))), lambda i: F.coalesce(wanted(F.get(m, i)), F.lit(False)))
+            at = F.array_distinct(F.transform(chosen, lambda i: i + F.array_position(F.slice(g, i + 1, window - k + 1), F.get(m, i)).cast("int") - 1))
+            return F.transform(at, lambda p: F.struct(p.alias("at"), F.get(g, p).alias("fp"), F.array(*(F.get(h, p + j) for j in range(k - window, window))).alias("near")))
+
+        return let(least, places)
+
+    return let(grams, of)
+
+
+def extended(left: Column, right: Column, window: int, k: int) -> tuple[Column, Column]:
+    """How many words before and after the shared k-gram are equal too, for two contexts as spots() gives them; both are null if the k-grams differ."""
+    same = [F.coalesce(F.get(left, F.lit(j)) == F.get(right, F.lit(j)), F.lit(False)) for j in range(2 * window - k)]
+
+    def run(places):
+        out = F.lit(len(places))
+        for n in range(len(places) - 1, -1, -1):
+            out = F.when(~same[places[n]], F.lit(n)).otherwise(out)
+        return out
+
+    equal = all_of([same[j] for j in range(window - k, window)])
+    return F.when(equal, run([*range(window - k - 1, -1, -1)])), F.when(equal, run([*range(window, 2 * window - k)]))
 
 
 def _windows(words: Column, where: Column, n: int) -> Column:
@@ -44,19 +73,33 @@ def _windows(words: Column, where: Column, n: int) -> Column:
     return F.transform(where, one)
 
 
-def _test_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int) -> DataFrame:
-    """item, fp, n, a, b for every distinct window of every item; an item of fewer words is one window with its own hash as fingerprint."""
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _test_spots(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int) -> DataFrame:
+    """item, fp, near for every distinct fingerprint and context of every item of window words or more."""
+    inside = benchmark.select(F.col(id_col).alias("item"), F.explode(let(_hashes(words_of(F.col(text_col))), lambda h: spots(h, window, k, lambda _: F.lit(True)))).alias("x"))
+    return inside.select("item", "x.fp", "x.near").distinct()
+
 
-    def rows(words):
-        def windows(h):
-            long = F.zip_with(winnowed(h, window, k), _windows(words, _starts(h, window), window), lambda f, w: F.struct(f.alias("fp"), w.alias("w")))
-            whole = lambda n: F.transform(_windows(words, F.array(F.lit(0)), n), lambda w: F.struct(_hash_at(h, F.lit(0), n).alias("fp"), w.alias("w")))
-            return F.coalesce(*(F.when(F.size(h) == n, whole(n)) for n in range(1, window)), long)
+def _short_items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """item, fp, n, a, b for every item of fewer words, but not none: it is one window, its own hash its fingerprint."""
 
-        return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    def whole(words):
+        of = lambda n: F.struct(_hash_at(_hashes(words), F.lit(0), n).alias("fp"), F.get(_windows(words, F.array(F.lit(0)), n), F.lit(0)).alias("w"))
+        return F.coalesce(*(F.when(F.size(words) == n, of(n)) for n in range(1, window)))
 
-    inside = benchmark.select(F.col(id_col).alias("item"), F.explode(let(words_of(F.col(text_col)), rows)).alias("x"))
-    return inside.select("item", "x.fp", F.col("x.w.n").alias("n"), F.col("x.w.a").alias("a"), F.col("x.w.b").alias("b")).distinct()
+    found = benchmark.select(F.col(id_col).alias("item"), let(words_of(F.col(text_col)), whole).alias("x")).where("x IS NOT NULL")
+    return found.select("item", "x.fp", F.col("x.w.n").alias("n"), F.col("x.w.a").alias("a"), F.col("x.w.b").alias("b")).distinct()
+
+
+def _sets(tests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """keys, set (null if only null items have them), and (set, item) of every set: sets of items are told apart by hashes that merge."""
+    named = tests.where(F.col("item").isNotNull())
+    of_items = named.groupBy(*keys).agg(F.count("*").alias("m"), F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "item")).alias("x"))
+    sets, _ = written(tests.select(*keys).distinct().join(of_items, keys, "left").select(*keys, F.when(F.col("m").isNotNull(), F.xxhash64("m", "s", "x")).alias("set")), "sets")
+    return sets, named.join(sets, keys).select("set", F.col("item").cast("string").alias("item")).distinct()
 
 
 def _bit_filter(fps: DataFrame) -> tuple[DataFrame, int]:
@@ -71,19 +114,12 @@ def _bit_filter(fps: DataFrame) -> tuple[DataFrame, int]:
     return kept.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("bits")), log
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 8, k: int = 4) -> DataFrame:
-    """One row per document: row (its number), id, n_words, hits (array<struct<at, n>>: windows of the benchmark that occur), items (sorted strings).
-
-    A window is window words in a row of an item, or a whole item of fewer words. Texts are read once: in each row the least k-gram hash of every
-    window is looked up in a filter of bounded size that holds the fingerprints of the benchmark; windows that pass are hit by a join on
-    128 bits of hash, so neighbouring hits extend to the whole shared span. Sets of items are told apart by hashes that merge, not
-    gathered per window; a passage that many items share costs one row a document. Null items and documents have no words; an item with
-    a null id marks words but is not counted among the items.
-    """
-    spark = documents.sparkSession
-    tests, _ = written(_test_windows(benchmark, item_col, item_text, window, k), "tests")
-    short = sorted(r.n for r in tests.where(F.col("n") < window).select("n").distinct().collect())  # window - 1 values at most
-    bits, log = _bit_filter(tests.select("fp").distinct())
+def _found(documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: row, id, n_words of every document; row, at, n, set of every span that it shares with the benchmark; set, item."""
+    tests, _ = written(_test_spots(benchmark, item_col, item_text, window, k), "tests")
+    short, _ = written(_short_items(benchmark, item_col, item_text, window), "short")
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())  # window - 1 values at most
+    bits, log = _bit_filter(tests.select("fp").union(short.select("fp")).distinct())
     mask = F.lit((1 << log) - 1)
 
     def seen(fp):
@@ -93,28 +129,43 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def passing(words):
         def of(h):
-            least = let(winnowed(h, window, k), lambda m: F.filter(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0))), lambda i: F.coalesce(seen(F.get(m, i)), F.lit(False))))
-            parts = [_windows(words, least, window)]
-            known = lambda n: F.filter(_starts(h, n), lambda i: seen(_hash_at(h, i, n)))
-            parts += [_windows(words, known(n), n) for n in short]
-            return F.struct(F.size(words).cast("long").alias("n_words"), F.concat(*parts).alias("windows"))
+            known = lambda n: _windows(words, F.filter(_starts(h, n), lambda i: seen(_hash_at(h, i, n))), n)
+            whole = F.concat(*(known(n) for n in lengths)) if lengths else F.array().cast("array<struct<at:int,n:int,a:bigint,b:bigint>>")
+            return F.struct(F.size(words).cast("long").alias("n_words"), spots(h, window, k, seen).alias("spots"), whole.alias("short"))
 
-        return let(F.transform(words, lambda w: F.xxhash64(w)), of)
+        return let(_hashes(words), of)
 
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), bits.scalar().alias("bits"))
     found = texts.select("id", let(words_of(F.col("text")), passing).alias("x"))
-    slim, _ = written(found.select(F.monotonically_increasing_id().alias("row"), "id", "x.n_words", "x.windows"), "passing")
-    of_items = tests.where(F.col("item").isNotNull()).groupBy("a", "b").agg(F.count("*").alias("m"), F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "item")).alias("x"))
-    sets = tests.select("a", "b", "n").distinct().join(of_items, ["a", "b"], "left").select("a", "b", F.when(F.col("m").isNotNull(), F.xxhash64("m", "s", "x")).alias("set"))
-    windows, _ = written(sets, "windows")
-    items = tests.where(F.col("item").isNotNull()).join(windows, ["a", "b"]).select("set", F.col("item").cast("string").alias("item")).distinct()
-    side = F.broadcast(windows) if windows.count() <= BROADCAST_ROWS else windows
-    hits = slim.select("row", F.inline("windows")).join(side, ["a", "b"]).select("row", "at", "n", "set")
-    kept, _ = written(hits, "hits")
+    slim, _ = written(found.select(F.monotonically_increasing_id().alias("row"), "id", "x.n_words", "x.spots", "x.short"), "passing")
+    sets, items = _sets(tests, ["fp", "near"])
+    side = sets.withColumnRenamed("near", "other")
+    met = slim.select("row", F.inline("spots")).join(F.broadcast(side) if sets.count() <= BROADCAST_ROWS else side, "fp")
+    before, after = extended(F.col("near"), F.col("other"), window, k)
+    spans = met.select("row", "at", "set", before.alias("before"), after.alias("after")).where(F.col("before") + F.col("after") >= window - k)
+    hits = spans.select("row", (F.col("at") - F.col("before")).alias("at"), (F.col("before") + F.col("after") + k).alias("n"), "set")
+    if lengths:
+        few, more = _sets(short, ["a", "b"])
+        whole = slim.select("row", F.inline("short")).join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, ["a", "b"])
+        hits, items = hits.union(whole.select("row", "at", "n", "set")), items.union(more).distinct()
+    kept, _ = written(hits.distinct(), "hits")
+    return slim.select("row", "id", "n_words"), kept, items
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 8, k: int = 4) -> DataFrame:
+    """One row per document: row (its number), id, n_words, hits (array<struct<at, n>>: spans that it shares with the benchmark), items (sorted strings).
+
+    A shared span is window words or more in a row that stand in an item too, or a whole item of fewer words. Texts are read once: of each window the least k-gram
+    hash is kept, and fingerprints that a filter of bounded size may hold of the benchmark are joined with those of the benchmark, each with the words around
+    it, by which the hit is extended to both sides: every shared window holds a joined fingerprint, so every one is found, and equal words prove it. Sets
+    of items are told apart by hashes that merge, not gathered per window; a passage that many items share costs one row a document. Null
+    items and documents have no words; an item with a null id marks words but is not counted among the items.
+    """
+    slim, kept, items = _found(documents, benchmark, id_col, text_col, item_col, item_text, window, k)
     where = kept.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("hits"))
     named = kept.where(F.col("set").isNotNull()).select("row", "set").distinct().join(items, "set").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<struct<at:int,n:int>>")
-    joined = slim.select("row", "id", "n_words").join(where, "row", "left").join(named, "row", "left")
+    joined = slim.join(where, "row", "left").join(named, "row", "left")
     return joined.select("row", "id", "n_words", F.coalesce(F.array_sort("hits"), none).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -130,9 +181,16 @@ def words_hit(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["sum"])
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 1, **kwargs) -> DataFrame:
-    """The documents (all columns) with windows of fewer than least_items items; kwargs as for contamination()."""
+def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 8, k: int = 4, least_items: int = 1, short_items: bool = False) -> DataFrame:
+    """The documents (all columns) that share spans of window words or more with fewer than least_items items.
+
+    short_items: a whole item of fewer words counts too; by default it does not, as a few words in a row may stand in any text. Items with null ids do not count.
+    """
     mark, row = fresh(documents, "mark", "row")
     marked = numbered(documents, row)
-    bad = contamination(marked.select(F.col(row).alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", **kwargs).where(F.size("items") >= least_items).select(F.col("id").alias(mark))
+    slim, kept, items = _found(marked.select(F.col(row).alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", item_col, item_text, window, k)
+    counted = kept.where(F.col("set").isNotNull() & (F.lit(short_items) | (F.col("n") >= window))).select("row", "set").distinct()
+    if least_items > 1:
+        counted = counted.join(items, "set").groupBy("row").agg(F.count_distinct("item").alias("m")).where(F.col("m") >= least_items)
+    bad = slim.join(counted.select("row").distinct(), "row").select(F.col("id").alias(mark))
     return marked.join(bad, F.col(row) == F.col(mark), "left_anti").select(*documents.columns)

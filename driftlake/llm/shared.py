@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftlake.sources.tables import shared_dir
+
 #: Words are maximal runs of anything but ASCII white space.
 BLANKS = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (one machine, tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (known or f"file://{tempfile.gettempdir()}/driftlake-shared").rstrip("/")
-
-
 def new_path(spark: SparkSession, kind: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -98,6 +92,10 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def all_of(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside other lambdas (the optimizer would copy it there)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -108,7 +106,6 @@ def numbered(df: DataFrame, row: str) -> DataFrame:
 
     Where df comes straight from files, file and place in it; otherwise df is written once, with a running number.
     """
-    try:
+    if "_metadata" in df._jdf.queryExecution().analyzed().metadataOutput().mkString(","):
         return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(row))
-    except AnalysisException:
-        return written(df.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")[0]
+    return written(df.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "numbered")[0]
