@@ -51,14 +51,14 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Knots] = SCHEDULES, share: float = 1.5, cap: int = 2, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken, positions (array<double>: when each copy is trained on), and keep.
 
-    Size is the number of words (null texts: 0). In each source documents stand in an order by a hash of their id, so reruns agree; pass after
+    Size is the number of words (null texts: 0). In each source documents stand in an order by a hash of their id, then by size and keep, so reruns agree; pass after
     pass over it, the words up to the source's target are taken: a document is taken wholly, again in the next pass, and the last one in part.
     A copy that begins at word a of the target is trained on at the time at which the integral of the source's schedule reaches a /
     target. Null sources are a source of their own. Sources that hold most of the rows are cut into many ranges.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
     slim = slim.withColumn("turn", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    placed, path = prefix_sums(slim, ["turn", "id", "size"], {"size": "start"}, "source")
+    placed, path = prefix_sums(slim, ["turn", "id", "size", *keep], {"size": "start"}, "source")
     sizes, _ = written(slim.sparkSession.read.parquet(path).groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     goal, _ = written(targets(sizes, weights, share, cap).withColumnRenamed("source", "of"), "targets")
     side = F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal

@@ -102,6 +102,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_ALLOWED = r"regexp_matches(x, '^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$') OR regexp_matches(x, '^sha(1|256|384|512)-') OR len(list_distinct(str_split(x, ''))) = 1"
+_HIDDEN = "(?i:example|placeholder|changeme|dummy|xxxx)"
+
+
+def _places(of: str, text: str, pattern: str, group: int) -> str:
+    """of, pos (code points before it), whole and part of every match of the pattern in text."""
+    lengths = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda y: length(y))), 0)"
+    cut = f"SELECT *, string_split_regex({text}, '{pattern}') AS g, regexp_extract_all({text}, '{pattern}') AS w, regexp_extract_all({text}, '{pattern}', {group}) AS p FROM {of} WHERE regexp_matches({text}, '{pattern}')"
+    return f"SELECT * EXCLUDE (g, w, p, i), {lengths('g[:i]')} + {lengths('w[:i - 1]')} AS pos, w[i] AS whole, p[i] AS part FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ({cut}))"
+
+
+def _base_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"SELECT r, CAST(pos AS BIGINT) AS s, {rank} AS rank, '{kind}' AS kind, CAST(pos + length(whole) AS BIGINT) AS e FROM ({_places('d', 't', pattern, group)}) WHERE length(part) >= {least}"
+
+
+def _entropy_sql(rank: int, kind: str, chars: str, window: int, threshold: float) -> str:
+    lengths = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda y: length(y))), 0)"
+    runs = f"SELECT r, pos, whole AS x FROM ({_places('d', 't', f'[{chars}]{{{window},}}', 0)})"
+    parts = f"""SELECT r, pos, g, w, unnest(range(1, len(g) + 1)) AS i FROM (
+        SELECT r, pos, string_split_regex(x, '{_HIDDEN}') AS g, regexp_extract_all(x, '{_HIDDEN}') AS w FROM ({runs}) WHERE NOT ({_ALLOWED}))"""
+    windows = f"SELECT *, unnest(range(0, length(x) - {window} + 1)) AS o FROM (SELECT r, i, pos + {lengths('g[:i - 1]')} + {lengths('w[:i - 1]')} AS pos, g[i] AS x FROM ({parts}))"
+    hot = f"SELECT r, pos, min(o) AS a, max(o) AS b FROM ({windows}) WHERE list_aggregate(str_split(substr(x, o + 1, {window}), ''), 'entropy') >= {threshold} - 1e-9 GROUP BY r, pos, i"
+    return f"SELECT r, CAST(pos + a AS BIGINT) AS s, {rank} AS rank, '{kind}' AS kind, CAST(pos + b + {window} AS BIGINT) AS e FROM ({hot})"
+
+
+def _inverse_sql(y: str, knots) -> str:
+    """The time at which a schedule has used up the share y, as SQL."""
+    legs = [(a, b, (b[0] - a[0]) * (a[1] + b[1]) / 2) for a, b in zip(knots, knots[1:], strict=False)]
+    whole = sum(leg[2] for leg in legs)
+    base, out = whole, None
+    for (t0, w0), (t1, w1), area in reversed(legs):
+        base -= area
+        z = f"(greatest({y} * {whole!r}::DOUBLE - {base!r}::DOUBLE, 0) / {t1 - t0!r}::DOUBLE)"
+        at = f"({t0!r}::DOUBLE + coalesce({z} * 2 / nullif(sqrt(greatest({w0 * w0!r}::DOUBLE + {z} * {2 * (w1 - w0)!r}::DOUBLE, 0)) + {w0!r}::DOUBLE, 0), 0) * {t1 - t0!r}::DOUBLE)"
+        out = at if out is None else f"CASE WHEN {y} * {whole!r}::DOUBLE < {base + area!r}::DOUBLE THEN {at} ELSE {out} END"
+    return f"least({out}, {knots[-1][0]!r}::DOUBLE)"
+
+
+_BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
@@ -110,19 +151,27 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN top IS NULL OR page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
           CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
         FROM m""",
+    "op2_secret_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        b AS ({_base_sql(0, "assign", _ASSIGN, 2, 6)} UNION ALL {_base_sql(1, "access", "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_base_sql(2, "hex", "[0-9a-f]+", 0, 24)}),
+        h AS ({_entropy_sql(3, "entropy_hex", "0-9A-Fa-f", 20, 2.9)} UNION ALL {_entropy_sql(4, "entropy_base64", "A-Za-z0-9+/_=-", 20, 3.8)}),
+        a AS (SELECT * FROM b UNION ALL SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = h.r AND b.s <= h.s AND b.e >= h.e)),
+        n AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM a GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (r)""",
     "op4_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
           WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
         s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+          FROM (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 100 = 0) a JOIN v b ON a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
-    "op7_line_dedup": r"""
+    "op7_line_dedup": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
         l AS (SELECT r, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
-        b AS (SELECT trim(line, ' ') AS k FROM l WHERE length(trim(line, ' ')) >= 1 AND source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+        b AS (SELECT trim(line, {_BLANK}) AS k FROM l WHERE length(trim(line, {_BLANK})) >= 1 AND source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) >= 5),
         g AS (SELECT r, count(*) AS n, count(k) AS gone, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k IS NULL), '') AS rest
-          FROM l LEFT JOIN b ON trim(line, ' ') = k GROUP BY r)
+          FROM l LEFT JOIN b ON trim(line, {_BLANK}) = k GROUP BY r)
         SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed, length(coalesce(rest, '')) AS kept_chars, sha256(coalesce(rest, '')) AS kept_sha256
         FROM d LEFT JOIN g USING (r)""",
     "op8_decontaminate": rf"""
@@ -138,4 +187,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
         FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)""",
+    "op9_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+        w AS (SELECT *, [3, 1, 2][nth % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
+        l AS (SELECT *, cap / weight AS level, coalesce(sum(cap) OVER before, 0) AS caps, coalesce(sum(weight) OVER before, 0) AS weights FROM w
+          WINDOW before AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        n AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - caps) / ((SELECT sum(weight) FROM w) - weights) AS need FROM l),
+        g AS (SELECT source AS of, source_size, nth, least(cap, coalesce(weight * (SELECT arg_min(need, level) FROM n WHERE level >= need), cap)) AS target FROM n),
+        p AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+        m AS (SELECT *, CAST(round(target) AS BIGINT) - start AS room, start / nullif(target, 0) AS y FROM p JOIN g ON source IS NOT DISTINCT FROM of)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(greatest(0, least(size, room)) + greatest(0, least(size, room - source_size)) AS BIGINT) AS taken,
+          CASE WHEN least(size, room) > 0 THEN round(CASE nth % 3 WHEN 0 THEN {_inverse_sql("y", mixing.SCHEDULES[0])} WHEN 1 THEN {_inverse_sql("y", mixing.SCHEDULES[1])} ELSE {_inverse_sql("y", mixing.SCHEDULES[2])} END, 9) END AS position FROM m""",
+    "op10_sharding": """
+        WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+        d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(coalesce(text, '')) AS g FROM documents),
+        o AS (SELECT *, row_number() OVER (ORDER BY g, doc_id NULLS LAST) - 1 AS nth, CAST(coalesce(sum(size) OVER (ORDER BY g, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+        z AS (SELECT CAST(sum(size) AS BIGINT) AS n FROM d),
+        u AS (SELECT DISTINCT g FROM o, (SELECT unnest(range(1, 16)) * n // 16 AS cut FROM z) WHERE start <= cut AND start + size >= cut),
+        w AS (SELECT g, min(start) AS first FROM o WHERE g IN (FROM u) GROUP BY g HAVING sum(size) <= (SELECT 0.02::DOUBLE * n / 16 FROM z)),
+        q AS (SELECT o.*, CAST(least(coalesce(first, start) * 16 // n, 15) AS INTEGER) AS shard FROM o CROSS JOIN z LEFT JOIN w USING (g))
+        SELECT doc_id, size, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(t), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32,
+          'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q, c""",
 }

@@ -20,7 +20,7 @@ def shards(df: DataFrame, n: int = 16, id_col: str = "doc_id", text_col: str = "
     Repeated rows keep their copies; which of two equal rows has which slot is open.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("group"), F.lit(1).cast("long").alias("one"), *keep)
+    slim = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.md5(text.cast("binary")).alias("group"), F.lit(1).cast("long").alias("one"), *keep)
     split = F.xxhash64(F.lit(1), "id", *keep).alias("salt")  # rows that are equal in all the rest can still be told apart by keep
     placed, _ = prefix_sums(slim.select("*", split), ["group", "id", "salt"], {"size": "start", "one": "nth"})
     total = slim.sparkSession.read.parquet(_).agg(F.sum("size")).first()[0] or 0

@@ -95,7 +95,7 @@ def test_warc_round_trip(spark):
 
 # 2 secrets
 
-TEXTS = st.lists(st.sampled_from(["password", "PASSWD", "api_key", "apikey", "Secret", "token", " ", "=", ":", '"', "'", "hunter2!", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "Zm9vYmFy", "é", "😀", "\n", "-", "xK9/dQ2+wE7"]), max_size=30).map("".join)
+TEXTS = st.lists(st.sampled_from(["password", "PASSWD", "api_key", "apikey", "Secret", "token", " ", "=", ":", '"', "'", "hunter2!", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "Zm9vYmFy", "é", "😀", "\n", "-", "xK9/dQ2+wE7", "example", "Zq8xK2mN5pR7tV9wY1aB3c"]), max_size=30).map("".join)
 PATTERN = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": ("AKIA[A-Z0-9]+", 0, 20),
@@ -116,9 +116,13 @@ def entropy_of(text, classes=secrets.CLASSES):
             if any(regex.search(a, run) for a in secrets.ALLOWED):
                 continue
             bits = lambda w: -sum(n / c.window * np.log2(n / c.window) for n in Counter(w).values())
-            hot = [i for i in range(len(run) - c.window + 1) if bits(run[i : i + c.window]) >= c.threshold - 1e-9]
-            if hot:
-                out.append((c.kind, m.start() + hot[0], m.start() + hot[-1] + c.window))
+            at = 0
+            for word in [*regex.finditer(secrets.WORDS, run), None]:
+                part = run[at : word.start() if word else len(run)]
+                hot = [i for i in range(len(part) - c.window + 1) if bits(part[i : i + c.window]) >= c.threshold - 1e-9]
+                if hot:
+                    out.append((c.kind, m.start() + at + hot[0], m.start() + at + hot[-1] + c.window))
+                at = word.end() if word else 0
     return out
 
 
@@ -142,6 +146,20 @@ def test_secrets_of_made_up_texts(spark, texts):
     check_secrets(spark, texts)
 
 
+def test_many_secrets_in_one_text(spark):
+    """More matches than a block of running values, and spans that others cover; the time is linear in them."""
+    check_secrets(spark, ["token=abcdef12 " * 700, "key=Zq8xK2mN5pR7tV9wY1aB3cD4eF6gH0jL token=Zq8xK2mN5pR7tV9wY1aB3cD4eF6gH0jL " * 150])
+    df = spark.createDataFrame([("token=abcdef12 " * 100_000,)], "t string").select(secrets.secret_spans(F.col("t")).alias("s"))
+    assert tuple(df.select(F.size("s.base"), F.size("s.all"), F.element_at("s.base", -1)["end"]).first()) == (100_000, 100_000, 1_499_999)
+
+
+def test_allowed_words_hide_only_their_surroundings(spark):
+    key = "Zq8xK2mN5pR7tV9wY1aB3cD4eF6gH0jL"
+    df = spark.createDataFrame([(f"example_key={key}",), ("Zq8xK2mN5pexampletV9wY1aB3",), (f"/examples/{key}",)], "t string")
+    found = [r.n for r in df.select(F.size(secrets.secret_spans(F.col("t"))["all"]).alias("n")).collect()]
+    assert found == [1, 0, 1]
+
+
 # 3 tokens
 
 
@@ -161,7 +179,35 @@ def test_long_texts_are_cut_at_blanks(monkeypatch):
     text = b"ab cd efghijklmnopqrst uv " * 20
     assert b"".join(tokens._pieces(text)) == text
     path = queries.tokenizer_path()
-    assert tokens.count_texts([text], path, {}, True) == tokens.count_texts([text], path, {}, False)
+    assert tokens.count_texts([text, None, b""], tokens.counter(path), True) == tokens.count_texts([text, None, b""], tokens.counter(path), False)
+
+
+def test_words_remembered_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    known = tokens.counter(queries.tokenizer_path())
+    texts = [" ".join(f"word{i * j}" for i in range(40)).encode() + b" " + b"x" * 5000 for j in range(30)]
+    assert tokens.count_texts(texts, known, True) == tokens.count_texts(texts, known, False)
+    known = tokens.counter(queries.tokenizer_path())
+    for t in texts:
+        tokens.count_texts([t], known, True)
+        assert len(known.young) <= 50 + 41 and len(known.old) <= 50 + 41 and all(len(w) <= tokens.LONGEST for w in known.young | known.old)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Strip"}}, {"pattern": r" ?[^\s\p{L}]+|\p{L}+"}, {"post_processor": {"type": "Other"}}, {"lstrip": True}, {}])
+def test_safe_boundaries_are_known_exactly(tmp_path, change):
+    import json
+
+    d = json.loads(open(queries.tokenizer_path(), encoding="utf-8").read())
+    d["model"] = {}
+    if "pattern" in change:
+        d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = change["pattern"]
+    elif "lstrip" in change:
+        d["added_tokens"][0]["lstrip"] = True
+    else:
+        d |= change
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(d))
+    assert tokens._drops_white_space(str(path)) == (change == {})
 
 
 # 4 top-k
@@ -179,6 +225,13 @@ def test_top_k_against_brute_force(spark):
     scores = q @ q.T
     for i in range(0, 750, 50):
         assert got[i] == [(j, scores[i, j]) for j in sorted((j for j in range(750) if j != i), key=lambda j: (-scores[i, j], j))[:7]]
+    again = topk.quantised(spark.createDataFrame(rows + [rows[3], rows[50], (7, [1.0] * 3), (100, [2.0] * 3)], "vec_id long, e array<double>"), "vec_id", "e")
+    got = defaultdict(list)
+    for r in topk.exact_top_k(again, F.col("id") % 50 == 0, 800, data_block=200, query_block=6).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for i in range(0, 750, 50):
+        every = [(j, int(scores[i, j])) for j in [*range(750), 3, 50] if j != i] + ([(7, 3 * 2048 * 1024)] if i == 100 else [])
+        assert got[i] == sorted(every, key=lambda x: (-x[1], x[0]))
     few = topk.quantised(spark.createDataFrame(rows[:4], "vec_id long, e array<double>"), "vec_id", "e")
     assert topk.exact_top_k(few, F.col("id") == 0, 10).count() == 3
 
@@ -304,6 +357,12 @@ def test_lines_near_and_over_the_threshold(spark):
     assert sum("on four sites" in (r.text or "") for r in left.collect()) == 12
 
 
+def test_lines_with_other_white_space_at_their_ends(spark):
+    rows = [(str(i), ("boilerplate\r\nown {}\r\n" if i % 2 else "\tboilerplate \nown {}").format(i)) for i in range(6)]
+    left, _, removed = lines.without_spread_lines(spark.createDataFrame(rows, "source string, text string"), least_sites=5)
+    assert all(r[removed] == 1 and "boilerplate" not in r.text and f"own {r.source}" in r.text for r in left.collect())
+
+
 # 8 decontamination is held against SQL; here words and windows alone
 
 
@@ -312,7 +371,11 @@ def test_contamination_of_short_items_and_nulls(spark):
     docs = spark.createDataFrame([(1, "zero ONE,two;three four one two three"), (2, "x a b c d e f g h i y"), (3, None), (4, "a b c d e f g"), (1, "zero ONE,two;three four one two three")], "doc_id long, text string")
     got = sorted((r.id, r.n, r.hit, r["items"]) for r in decontaminate.contamination(docs, bench).select("id", F.col("n_words").alias("n"), decontaminate.words_hit(F.col("hits")).alias("hit"), "items").collect())
     assert got == [(1, 8, 6, ["1"]), (1, 8, 6, ["1"]), (2, 11, 9, ["4"]), (3, 0, 0, []), (4, 7, 0, [])]
-    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench, least_items=1).collect()) == [3, 4]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench, least_items=1, short_items=True).collect()) == [3, 4]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench, least_items=1).collect()) == [1, 1, 3, 4]
+    both = spark.createDataFrame([(1, "q r s t u v w x A B C D E F G H"), (2, "zz q r s t u v w x zz")], "doc_id long, text string")
+    two = bench.union(spark.createDataFrame([(5, "q r s t u v w x")], "item_id long, text string"))
+    assert [r.doc_id for r in decontaminate.clean(both, two, least_items=2).collect()] == [2]
 
 
 # 9 mixing
@@ -349,6 +412,13 @@ def test_mixing(spark, docs):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
 
 
+def test_curriculum_of_equal_ids_reruns_alike(spark, tmp_path):
+    rows = [(1, f"text number {i} of some", "en", "s", 1) for i in range(50)] + [(2, None, "en", None, 0)]
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "d"))
+    run = lambda: [r.text for r in mixing.curriculum(spark.read.parquet(str(tmp_path / "d"))).collect()]
+    assert run() == run()
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 5}, {"a": 0, "b": 0}, {"a": 100}, {f"s{i}": i * i for i in range(40)}])
 def test_targets(spark, sizes):
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
