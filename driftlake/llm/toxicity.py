@@ -16,22 +16,28 @@ from pyspark.sql import functions as F
 
 from driftlake.llm.tokens import _pieces
 
-LETTERS = 27  # a to z, and one for all other letters
+#: Codes of letters: a to z, and OTHERS for all other letters, by their code points.
+OTHERS = 4
+LETTERS = 26 + OTHERS
 SIZE = LETTERS**3
 #: Decay per character that a subsequence of three letters spans, and the longest span; words are read in pieces of at most PIECE characters.
 DECAY, SPAN, PIECE = 0.6, 8, 24
-#: Bounds of the sample to learn from: labelled texts of each class, those of the smallest hashes, and characters of each (longer ones are not drawn).
-TRAIN_TEXTS, TRAIN_CHARS = 3000, 20_000
-LANDMARKS, NEGATIVES, ROUNDS = 128, 20_000, 3
-REMEMBERED = 300_000
+#: Bound of the sample to learn from: labelled texts of each class, those of the smallest hashes, whole.
+TRAIN_TEXTS = 3000
+LANDMARKS, NEGATIVES, ROUNDS = 256, 20_000, 3
+#: Words that are remembered with their margins, and the bytes of the longest of these.
+REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text whose new words are scored together.
 TOGETHER = 1 << 20
 #: How many deviations, and how many times as often as in clean texts, a word must stand in toxic ones to be a witness for sure.
 SURE, PURITY = 3.0, 9
+#: Weight of a witness against a word of clean texts, which are many more; and the margins beyond which a word is not more or less toxic.
+POSITIVE = 3.0
+LEAST, MOST = -1.0, 1.0
 #: Rows of a matrix that a training step takes at a time.
 ROWS = 2048
 _LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
-_CODES = bytes((c | 32) - 97 if chr(c | 32) in "abcdefghijklmnopqrstuvwxyz" else 27 for c in range(256))
+_CODES = bytes((c | 32) - 97 if chr(c | 32) in "abcdefghijklmnopqrstuvwxyz" else LETTERS for c in range(256))
 _SPACED = re.compile(rb"(?<!\S)\S(?: \S){2,}(?!\S)")
 
 
@@ -43,7 +49,7 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces_of(token: bytes) -> list[bytes]:
-    """The parts of a token that are compared: codes of its characters, 0 to 26 for letters, 27 for what stands between them; ends are stripped of the latter."""
+    """The parts of a token that are compared: codes of its characters, 0 to LETTERS - 1 for letters, LETTERS for what stands between them; ends are stripped of the latter."""
     if token.isascii() and token.isalpha():
         codes = token.translate(_CODES)
         return [codes] if len(codes) <= PIECE else [codes[i : i + PIECE] for i in range(0, len(codes) - PIECE // 2, PIECE // 2)]
@@ -52,7 +58,7 @@ def pieces_of(token: bytes) -> list[bytes]:
         a = next((i for i, c in enumerate(word) if c.isalnum()), len(word))
         b = next((i for i in range(len(word), 0, -1) if word[i - 1].isalnum()), 0)
         word = word[a:b].translate(_LOOKS_LIKE)
-    codes = bytes(ord(c) - 97 if "a" <= c <= "z" else 26 if c.isalpha() else 27 for c in word)
+    codes = bytes(ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % OTHERS if c.isalpha() else LETTERS for c in word)
     if len(codes) <= PIECE:
         return [codes]
     return [codes[i : i + PIECE] for i in range(0, len(codes) - PIECE // 2, PIECE // 2)]
@@ -72,7 +78,7 @@ def features(words: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
             inner = letters.astype(np.int16)
             code = (inner[:, at[:, 0]] * LETTERS + inner[:, at[:, 1]]) * LETTERS + inner[:, at[:, 2]]  # 16 bits are enough, and sort fast
             value = np.broadcast_to(weights, code.shape)
-            if (odd := letters > 26).any():
+            if (odd := letters >= LETTERS).any():
                 bad = (odd[:, at[:, 0]] | odd[:, at[:, 1]]) | odd[:, at[:, 2]]
                 code[bad] = SIZE
                 value = np.where(bad, 0.0, weights)
@@ -90,7 +96,7 @@ def features(words: Sequence[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 class Model(NamedTuple):
-    """weights: of each subsequence, the sum over the landmarks; bias: of the margin; a, b, c: score = 1 / (1 + exp(-(a * best + b * second + c)))."""
+    """weights: of each subsequence, the sum over the landmarks; bias: of the margin; a, b, c: score = 1 / (1 + exp(-(a * best + b * second + c))), from the margins of a text's two best words, held in LEAST or 0 to MOST."""
 
     weights: np.ndarray
     bias: float
@@ -115,6 +121,7 @@ class Model(NamedTuple):
         return out
 
     def score(self, best: float, second: float) -> float:
+        best, second = (min(max(m, least), MOST) for m, least in ((best, LEAST), (second, 0.0)))
         return float(1 / (1 + np.exp(-np.clip(self.a * best + self.b * second + self.c, -50, 50))))
 
 
@@ -160,6 +167,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
+class Bag(bytes):
+    """The distinct words of a text, as tokens_of() gives them, each on a line."""
+
+
 def _numbered(texts: Sequence[bytes]) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
     """All pieces of the texts, and for each text the numbers of its pieces of three characters or more, and of the first pieces of its words."""
     number: dict[bytes, int] = {}
@@ -168,12 +179,14 @@ def _numbered(texts: Sequence[bytes]) -> tuple[list[bytes], list[np.ndarray], li
     for text in texts:
         mine: set[int] = set()
         first: set[int] = set()
-        for t in tokens_of(text):
+        for t in text.split() if isinstance(text, Bag) else tokens_of(text):
             ids = of_token.get(t)
             if ids is None:
                 if len(of_token) >= REMEMBERED:
                     of_token.clear()
-                ids = of_token[t] = tuple(number.setdefault(p, len(number)) for p in pieces_of(t))
+                ids = tuple(number.setdefault(p, len(number)) for p in pieces_of(t))
+                if len(t) <= LONGEST:
+                    of_token[t] = ids
             mine.update(ids)
             first.add(ids[0])
         seen.append(np.fromiter(mine, np.int32, len(mine)))
@@ -184,7 +197,7 @@ def _numbered(texts: Sequence[bytes]) -> tuple[list[bytes], list[np.ndarray], li
 
 
 def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = None) -> Model:
-    """Learn from texts marked as a whole: in a toxic text at least one word is, in a clean one none.
+    """Learn from texts, or Bags of their words, marked as a whole: in a toxic text at least one word is, in a clean one none.
 
     The first witnesses of a toxic text are its words that stand SURE deviations more often in toxic texts than by chance, and PURITY times as often as in clean
     ones, or else its most over-represented word; then machine and witnesses (words of positive margin, or the best) are found in turn. Landmarks are the witnesses and words of clean texts, drawn by a hash. rate: the share of toxic texts
@@ -248,29 +261,43 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
         x[: len(high)], x[len(high) :] = coordinates(high), low
         sign = np.r_[np.ones(len(high)), -np.ones(len(negatives))]
         weight = np.r_[np.array([counts[w] for w in high], float), np.array([min(clean[w], 20) for w in negatives], float)]
-        weight[: len(high)] *= np.array([counts[w] / (counts[w] + clean[w]) for w in high])
+        weight[: len(high)] *= POSITIVE * np.array([counts[w] / (counts[w] + clean[w]) for w in high])
         w = _newton(x, sign, weight, ridge=1.0)
         model = Model(np.append(w[:-1] @ project[:, :SIZE], 0.0), float(w[-1]), 1.0, 0.0, 0.0)
         margin = model.margins(words)
         counts = witnesses(margin, 0.0)
     two = np.array([(np.unique(margin[ids])[::-1].tolist() + [model.bias] * 2)[:2] for ids in seen])
-    a, b, c = _logistic(np.c_[two, np.ones(len(two))], y)
+    a, b, c = _logistic(np.c_[two[:, 0].clip(LEAST, MOST), two[:, 1].clip(0, MOST), np.ones(len(two))], y)
     c += np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if 0 < prior < 1 else 0.0
     return model._replace(a=float(a), b=float(b), c=float(c))
 
 
-def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> tuple[list[bytes], list[int], float]:
-    """Texts and labels to learn from, at most `texts` of each class and `chars` characters each, those of the smallest hashes of their id; and the share of toxic
-    rows among all that are usable. usable: condition on id. Ids with several labels are toxic if one is; null ids, labels and texts are left out."""
+def bags(text: Column) -> Column:
+    """Bag of each whole text."""
+
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([b"\n".join(sorted(tokens_of(v.as_py()))) for v in batch.cast(pa.large_binary())], pa.binary())
+
+    return of(text)
+
+
+def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, texts: int = TRAIN_TEXTS) -> tuple[list[Bag], list[int], float]:
+    """Words of whole texts, and labels, to learn from, at most `texts` of each class, those of the smallest hashes of their id; and the share of toxic
+    rows among all that are usable. usable: condition on id. Ids with several labels are toxic if one is; null ids, labels and texts are left out. Only words come to the driver."""
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     told = told if usable is None else told.where(usable)
     rate = told.agg(F.avg("y")).first()[0]
     turn = F.xxhash64("id")
     drawn = [told.where(F.col("y") == y).orderBy(turn, "id").limit(2 * texts) for y in (0, 1)]
     few = F.broadcast(drawn[0].union(drawn[1]))  # 4 * texts rows of two numbers at most
-    short = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= chars).join(few, "id")
-    kept = [r for y in (0, 1) for r in short.where(F.col("y") == y).orderBy(turn, "id", "t").limit(texts).select(F.col("t").cast("binary").alias("t"), "y").collect()]
-    return [bytes(r.t) for r in kept], [r.y for r in kept], float(rate or 0.0)
+    known = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(few, "id")
+    kept = []
+    for y in (0, 1):
+        chosen = known.where(F.col("y") == y).orderBy(turn, "id", F.xxhash64("t")).limit(texts)
+        kept += [(Bag(r.w), y) for r in chosen.select(bags(F.col("t")).alias("w")).collect()]
+    return [w for w, _ in kept], [y for _, y in kept], float(rate or 0.0)
 
 
 def toxicity(text: Column, model: Model) -> Column:
@@ -285,9 +312,11 @@ def toxicity(text: Column, model: Model) -> Column:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(set().union(*bags))
-            if new:
-                known.update(zip(new, model.margins_of(new), strict=True))
+            long = [t for t in new if len(t) > LONGEST]
+            known.update(zip(new, model.margins_of(new), strict=True))
             best = [sorted({known[t] for t in bag}, reverse=True)[:2] + [model.bias] * 2 for bag in bags]
+            for t in long:
+                del known[t]
             return [model.score(b[0], b[1]) for b in best]
 
         for batch in batches:
