@@ -293,6 +293,52 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {(r.node, r.root) for r in roots.collect() if r.node != r.root} == {(i, 0) for i in range(1, 301)} | {(1000 + i, 1000) for i in range(1, 300)}
 
 
+def test_near_duplicates_of_similarity(spark):
+    """All pairs of sf0.01 whose 256 bits agree in 0.8 or more: none but these are linked, and at least 0.95 of them are."""
+    texts = list(dict.fromkeys((t or "").encode() for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text))
+    wide = np.array([simhash.wide_of(t, 5) for t in texts])
+    df = spark.createDataFrame([(i, [int(v) for v in w]) for i, w in enumerate(wide)], "node long, fp array<bigint>")
+    found = {(r.v, r.u) for r in simhash.similar_links(df, 0.8).collect()}
+    bits = np.unpackbits(wide[:, : simhash.WIDE].copy().view(np.uint8), axis=1).astype(int)
+    differ = bits.sum(1)[:, None] + bits.sum(1)[None, :] - 2 * bits @ bits.T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(differ <= 51), strict=True) if a < b}
+    assert len(want) > 20 and found <= want and len(found) >= 0.95 * len(want)
+
+
+def slow_wide(text, k, lanes):
+    words = [xxh64_intdigest(w, 42) for w in text.split()]
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    grams = []
+    for i in range(max(1, len(words) - k + 1)):
+        h = 0
+        for w in words[i : i + k]:
+            h = mixed((h * 0x9E3779B97F4A7C15 + w) & mask)
+        grams.append(h)
+    return [sum(1 << b for b in range(64) if 2 * sum(mixed((h + (lane + 1) * 0x9E3779B97F4A7C15) & mask) >> b & 1 for h in grams) > len(grams)) for lane in lanes]
+
+
+def test_wide_fingerprints_against_brute_force(spark):
+    texts = ["", "one", "One TWO", "a b c d e f g", " ".join(f"w{i * i % 300}" for i in range(700))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", simhash.wide_fingerprints(F.col("t")).alias("fp")).collect()
+    for r in rows:
+        want = slow_wide(r.t.lower().encode(), 5, range(simhash.WIDE)) + slow_wide(r.t.lower().encode(), 2, range(simhash.WIDE, simhash.LANES)) if r.t else [0] * simhash.LANES
+        assert [v % (1 << 64) for v in r.fp] == want
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    """Equal and near texts by the hundred: one stays, and block pairs grow with the texts, not with their square."""
+    base = [f"w{i * 7919 % 9973}" for i in range(300)]
+    texts = [" ".join(base)] * 50 + [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(150)] + [" ".join(f"v{(i * 1000 + j) * 104729 % 99991}" for j in range(200)) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, *range(200, 240)]
+
+
 def test_keep_one(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 7]
@@ -311,9 +357,46 @@ def test_toxicity(spark, docs):
     high, low = [r.s for r in rows if r.y], [r.s for r in rows if not r.y]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in high for b in low])
     assert auc > 0.9, auc
+    assert np.mean([s >= 0.5 for s in high]) > 0.85 and np.mean([s >= 0.5 for s in low]) < 0.02
     assert all(0 <= r.s <= 1 for r in rows)
 
 
+def slow_kernel(word):
+    out = defaultdict(float)
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                if max(word[i], word[j], word[k]) < toxicity.LETTERS:
+                    out[(word[i] * toxicity.LETTERS + word[j]) * toxicity.LETTERS + word[k]] += toxicity.DECAY ** (k - i + 1)
+    norm = np.sqrt(sum(v * v for v in out.values()))
+    return {c: v / norm for c, v in out.items()}
+
+
+def test_toxicity_query_against_brute_force(spark, docs):
+    """Every document of the query, scored word by word with the kernel written out."""
+    labels = pd.read_parquet(f"{DATA}/labels.parquet").dropna(subset=["toxic"]).groupby("doc_id").toxic.max()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = docs[docs.doc_id.isin(labels.index) & docs.text.notna() & ~docs.doc_id.map(held)]
+    usable = labels[[not held(i) for i in labels.index]]
+    model = queries.toxicity_model(spark, DATA)
+    again = toxicity.train([t.encode() for t in known.text], [int(labels[i]) for i in known.doc_id], float(usable.mean()))
+    assert np.allclose(model.weights, again.weights, atol=1e-6) and np.allclose(model[1:], again[1:], atol=1e-4)
+    margin = {}
+    for t in set().union(*(toxicity.tokens_of((x or "").encode()) for x in docs.text)):
+        margin[t] = max(model.bias + sum(model.weights[c] * v for c, v in slow_kernel(p).items()) if len(p) >= 3 else model.bias for p in toxicity.pieces_of(t))
+    rows = {r.doc_id: r for r in queries.op6_toxicity(spark, DATA).collect()}
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        m = sorted({round(margin[t], 9) for t in toxicity.tokens_of((text or "").encode())}, reverse=True)[:2] + [model.bias] * 2
+        best, second = min(max(m[0], -1), 1), min(max(m[1], 0), 1)
+        assert abs(rows[i].score - 1 / (1 + np.exp(-(model.a * best + model.b * second + model.c)))) < 1e-6
+        assert rows[i].held_out == held(i) and rows[i].predicted == int(rows[i].score >= 0.5)
+
+
+def test_letters_beyond_a_to_z_differ():
+    one, two = (toxicity.pieces_of(w.encode())[0] for w in ("дурак", "добро"))
+    assert one != two and all(26 <= c < toxicity.LETTERS for c in one)
+
+
 def test_toxicity_of_altered_insults():
     texts = [b"the calm river runs by a green hill", b"people walk along the shore", b"you are a stupid person", b"what a stupid idea"] * 10
     model = toxicity.train(texts, [0, 0, 1, 1] * 10)
@@ -324,22 +407,13 @@ def test_toxicity_of_altered_insults():
 
 
 def test_subsequence_kernel():
-    def kernel(word):
-        out = defaultdict(float)
-        for i in range(len(word)):
-            for j in range(i + 1, len(word)):
-                for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
-                    out[(word[i] * toxicity.LETTERS + word[j]) * toxicity.LETTERS + word[k]] += toxicity.DECAY ** (k - i + 1)
-        norm = np.sqrt(sum(v * v for v in out.values()))
-        return {c: v / norm for c, v in out.items()}
-
     for word in (b"stupid", b"banana", b"abcabcabc"):
         codes = bytes(c - 97 for c in word)
         got = defaultdict(float)
         for _, code, value in toxicity.features([codes]):
             for c, v in zip(code[0].tolist(), value[0].tolist(), strict=True):
                 got[c] += v
-        want = kernel(codes)
+        want = slow_kernel(codes)
         assert set(want) == set(got) and all(abs(got[c] - want[c]) < 1e-12 for c in want)
 
 
