@@ -135,18 +135,20 @@ def tokens_of(text: bytes | None) -> set[bytes]:
     return found
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Squared-hinge support vector machine, primal, by Newton steps; the last column of x is 1."""
-    w = np.zeros(x.shape[1])
+def _newton(parts: Sequence[tuple[np.ndarray, float, np.ndarray]], ridge: float, steps: int = 25) -> np.ndarray:
+    """Squared-hinge support vector machine, primal, by Newton steps; parts: rows, whose last column is 1, their sign and their weights."""
+    width = parts[0][0].shape[1]
+    w = np.zeros(width)
     for _ in range(steps):
-        g, h = ridge * w, ridge * np.eye(len(w))
-        for at in range(0, len(x), ROWS):
-            rows, sign = x[at : at + ROWS], y[at : at + ROWS]
-            slack = 1 - sign * (rows @ w)
-            on = slack > 0
-            rows, pull = rows[on], weight[at : at + ROWS][on]
-            g -= (pull * sign[on] * slack[on]) @ rows
-            h += (rows * pull[:, None]).T @ rows
+        g, h = ridge * w, ridge * np.eye(width)
+        for x, sign, weight in parts:
+            for at in range(0, len(x), ROWS):
+                rows = x[at : at + ROWS]
+                slack = 1 - sign * (rows @ w)
+                on = slack > 0
+                rows, pull = rows[on], weight[at : at + ROWS][on]
+                g -= sign * ((pull * slack[on]) @ rows)
+                h += (rows * pull[:, None]).T @ rows
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -241,12 +243,12 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
     dense[:, SIZE] = 0
     values, vectors = np.linalg.eigh(dense @ dense.T)
     good = values > 1e-6
-    project = (vectors[:, good] / np.sqrt(values[good])).T @ dense  # rows: Nyström coordinates as functions of subsequences
+    # rows: subsequences, columns: Nyström coordinates
+    by_code = dense.T @ (vectors[:, good] / np.sqrt(values[good]))
     del dense
-    by_code = np.ascontiguousarray(project.T)
 
     def coordinates(words):
-        out = np.zeros((len(words), len(project) + 1))
+        out = np.zeros((len(words), by_code.shape[1] + 1))
         out[:, -1] = 1
         for idx, code, value in features(words):
             for a in range(0, len(idx), 16):
@@ -254,16 +256,15 @@ def train(texts: Sequence[bytes], labels: Sequence[int], rate: float | None = No
         return out
 
     low = coordinates(negatives)
+    rare = np.array([min(clean[w], 20) for w in negatives], float)
     model = None
     for _ in range(ROUNDS):
         high = list(counts)
-        x = np.empty((len(high) + len(low), low.shape[1]))
-        x[: len(high)], x[len(high) :] = coordinates(high), low
-        sign = np.r_[np.ones(len(high)), -np.ones(len(negatives))]
-        weight = np.r_[np.array([counts[w] for w in high], float), np.array([min(clean[w], 20) for w in negatives], float)]
-        weight[: len(high)] *= POSITIVE * np.array([counts[w] / (counts[w] + clean[w]) for w in high])
-        w = _newton(x, sign, weight, ridge=1.0)
-        model = Model(np.append(w[:-1] @ project[:, :SIZE], 0.0), float(w[-1]), 1.0, 0.0, 0.0)
+        often = np.array([counts[w] * counts[w] / (counts[w] + clean[w]) for w in high], float)
+        w = _newton([(coordinates(high), 1.0, POSITIVE * often), (low, -1.0, rare)], ridge=1.0)
+        direction = by_code @ w[:-1]
+        direction[SIZE] = 0.0
+        model = Model(direction, float(w[-1]), 1.0, 0.0, 0.0)
         margin = model.margins(words)
         counts = witnesses(margin, 0.0)
     two = np.array([(np.unique(margin[ids])[::-1].tolist() + [model.bias] * 2)[:2] for ids in seen])
