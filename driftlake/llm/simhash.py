@@ -221,61 +221,99 @@ def wide_fingerprints(text: Column, shingle: int = 5) -> Column:
     return of(text)
 
 
-def _met(block: np.ndarray, value: np.ndarray, rep: np.ndarray, flip: np.ndarray, local: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u, v), u > v, of those that share a variant with the least and with the greatest of it. flip -1: the value itself and all of `local` flipped one by one; else that bit flipped."""
+def _met(block: np.ndarray, value: np.ndarray, rep: np.ndarray, group: np.ndarray, flip: np.ndarray, local: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v), u > v, of those of different groups that share a variant with the least and with the greatest of it.
+
+    flip -1: the value itself and all of `local` flipped one by one; else that bit flipped.
+    """
     here = flip < 0
     free = np.array([0] + [1 << i for i in range(BLOCK_BITS) if local >> i & 1], np.uint64)
     at = np.concatenate(((value[here, None] ^ free).ravel(), value[~here] ^ (np.uint64(1) << flip[~here].astype(np.uint64))))
     place = np.concatenate((np.repeat(block[here], len(free)), block[~here])) << np.uint64(BLOCK_BITS) | at
-    who = np.concatenate((np.repeat(rep[here], len(free)), rep[~here]))
+    source = np.concatenate((np.repeat(np.flatnonzero(here), len(free)), np.flatnonzero(~here)))
     order = place.argsort()
-    place, who = place[order], who[order]
+    place, source = place[order], source[order]
     begins = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begins, len(place)))
     if not (sizes > 1).any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low, high = (np.repeat(f.reduceat(who, begins), sizes) for f in (np.minimum, np.maximum))
-    pairs = np.unique(np.concatenate((np.stack((who, low), 1)[who != low], np.stack((high, who), 1)[who != high])), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    many = np.repeat(sizes > 1, sizes)
+    source, sizes = source[many], sizes[sizes > 1]
+    source = source[np.lexsort((rep[source], np.repeat(np.arange(len(sizes)), sizes)))]
+    ends = np.cumsum(sizes)
+    pairs = []
+    for other in (np.repeat(source[ends - sizes], sizes), np.repeat(source[ends - 1], sizes)):
+        apart = group[source] != group[other]
+        u, v = rep[source[apart]], rep[other[apart]]
+        pairs.append(np.stack((np.maximum(u, v), np.minimum(u, v)), 1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    return found[:, 0], found[:, 1]
+
+
+def _blocks(wide: DataFrame) -> DataFrame:
+    """wide, but for fp, with a row for each block and its value."""
+    half = F.lit((1 << BLOCK_BITS) - 1).cast("long")
+    parts = [F.shiftrightunsigned(F.get("fp", F.lit(WIDE + i // 2)), 32 * (i % 2)).bitwiseAND(half) for i in range(BLOCKS)]
+    return wide.select(*(c for c in wide.columns if c != "fp"), F.posexplode(F.array(*parts)).alias("block", "value"))
+
+
+def first_pairs(wide: DataFrame) -> DataFrame:
+    """(u, v): every node and the smallest node of the largest set of nodes that have a block in common with it; wide: node, fp."""
+    own = _blocks(wide)
+    values = own.groupBy("block", "value").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    best = own.join(values, ["block", "value"]).groupBy("node").agg(F.max(F.struct("n", -F.col("rep"))).alias("x"))
+    return best.select(F.col("node").alias("u"), (-F.col("x.col2")).alias("v")).where("u <> v")
 
 
 def block_pairs(wide: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of nodes whose blocks differ in two bits at most in some place; wide: node (long), fp (as wide_fingerprints() gives it), a row a node.
+    """Pairs (u, v), u > v, of nodes whose blocks differ in two bits at most in some place; wide: node (long), group, fp (as wide_fingerprints() gives it), a row a node.
 
-    Equal blocks meet first, by an aggregation: of each value of a block the smallest node stands for all, so that a group of like texts is
-    one value, however large. Every distinct value then emits its variants within one bit, half the radius, and those that are equal meet;
-    each is paired with the least and the greatest there, never all with all. Values are dealt by some of their bits: variants that keep
+    Nodes of a group are known to be linked and not paired again. Equal blocks meet first, by an aggregation: of each value of a block the smallest node stands for
+    all, so that many like texts are one value. Every distinct value then emits its variants within one bit, half the radius, and those that are equal
+    meet; each is paired with the least and the greatest there, never all with all. Values are dealt by some of their bits: variants that keep
     these travel as one row. How many bits follows from the number of tasks and changes no result.
     """
-    half = F.lit((1 << BLOCK_BITS) - 1).cast("long")
-    parts = [F.shiftrightunsigned(F.get("fp", F.lit(WIDE + i // 2)), 32 * (i % 2)).bitwiseAND(half) for i in range(BLOCKS)]
-    own = wide.select("node", F.posexplode(F.array(*parts)).alias("block", "value"))
-    values, _ = written(own.groupBy("block", "value").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "blocks")
-    alike = own.join(values.where("n > 1"), ["block", "value"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    own = _blocks(wide)
+    met = own.groupBy("block", "value").agg(F.min(F.struct("node", "group")).alias("rep"), F.min("group").alias("least"), F.max("group").alias("most"))
+    values, _ = written(met, "blocks")
+    alike = own.join(values.where("least <> most"), ["block", "value"]).where("group <> rep.group").select(F.greatest("node", "rep.node").alias("u"), F.least("node", "rep.node").alias("v"))
     tasks = max(1, -(-values.count() * (BLOCK_BITS + 1) // BLOCK_VARIANTS_A_TASK))
     bits = min(24, max(4, (8 * tasks // BLOCKS).bit_length()))
     low = (1 << bits) - 1
     ways = F.array(*(F.struct(F.lit(i).cast("byte").alias("flip"), F.col("value").bitwiseXOR(F.lit(1 << i if i >= 0 else 0).cast("long")).bitwiseAND(F.lit(low).cast("long")).cast("int").alias("key")) for i in range(-1, bits)))
-    sent = values.select(F.col("block").cast("byte").alias("block"), "value", "rep", F.inline(ways)).repartition(tasks, "block", "key")
+    sent = values.select(F.col("block").cast("byte").alias("block"), "value", F.col("rep.node").alias("rep"), F.col("rep.group").alias("group"), F.inline(ways)).repartition(tasks, "block", "key")
     local = ((1 << BLOCK_BITS) - 1) & ~low
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "value", "rep", "flip")] for b in batches if b.num_rows]
+        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "value", "rep", "group", "flip")] for b in batches if b.num_rows]
         if held:
-            block, value, rep, flip = (np.concatenate(c) for c in zip(*held, strict=True))
-            u, v = _met(block.astype(np.uint64), value.astype(np.uint64), rep, flip, local)
+            block, value, rep, group, flip = (np.concatenate(c) for c in zip(*held, strict=True))
+            u, v = _met(block.astype(np.uint64), value.astype(np.uint64), rep, group, flip, local)
             for i in range(0, len(u), CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array(u[i : i + CHUNK]), pa.array(v[i : i + CHUNK])], ["u", "v"])
 
     return alike.union(sent.mapInArrow(meet, "u long, v long")).distinct()
 
 
-def similar_links(wide: DataFrame, similarity: float) -> DataFrame:
-    """Those of block_pairs() whose fingerprints agree in that share of their bits or more."""
+def verified(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose fingerprints agree in that share of their bits or more."""
     lanes = lambda name: [F.get("fp", F.lit(i)).alias(f"{name}{i}") for i in range(WIDE)]
     left, right = wide.select(F.col("node").alias("u"), *lanes("l")), wide.select(F.col("node").alias("v"), *lanes("r"))
     differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(WIDE)))
-    return block_pairs(wide).join(left, "u").join(right, "v").where(differ <= int(64 * WIDE * (1 - similarity) + 1e-9)).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(differ <= int(64 * WIDE * (1 - similarity) + 1e-9)).select("u", "v")
+
+
+def similar_links(wide: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v), u > v, between nodes of like texts; wide: node (long), fp.
+
+    First each node is tried with one that it most likely belongs to, and what that links is a group; then all pairs of blocks are tried that
+    groups do not link already, so that of a large group of copies only few pairs are. The closure is that of all pairs of blocks.
+    """
+    first, _ = written(verified(first_pairs(wide), wide, similarity).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "first")
+    roots, _ = components(first)
+    grouped = wide.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "fp")
+    grouped, _ = written(grouped, "grouped")
+    return first.union(verified(block_pairs(grouped), wide, similarity))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
