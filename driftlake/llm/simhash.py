@@ -222,7 +222,7 @@ def wide_fingerprints(text: Column, shingle: int = 5) -> Column:
 
 
 def _met(block: np.ndarray, value: np.ndarray, rep: np.ndarray, group: np.ndarray, flip: np.ndarray, local: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u, v), u > v, of those of different groups that share a variant with the least and with the greatest of it.
+    """Pairs (u, v), u > v, of those of different groups that share a variant with the least of it.
 
     flip -1: the value itself and all of `local` flipped one by one; else that bit flipped.
     """
@@ -240,13 +240,9 @@ def _met(block: np.ndarray, value: np.ndarray, rep: np.ndarray, group: np.ndarra
     many = np.repeat(sizes > 1, sizes)
     source, sizes = source[many], sizes[sizes > 1]
     source = source[np.lexsort((rep[source], np.repeat(np.arange(len(sizes)), sizes)))]
-    ends = np.cumsum(sizes)
-    pairs = []
-    for other in (np.repeat(source[ends - sizes], sizes), np.repeat(source[ends - 1], sizes)):
-        apart = group[source] != group[other]
-        u, v = rep[source[apart]], rep[other[apart]]
-        pairs.append(np.stack((np.maximum(u, v), np.minimum(u, v)), 1))
-    found = np.unique(np.concatenate(pairs), axis=0)
+    least = np.repeat(source[np.cumsum(sizes) - sizes], sizes)
+    apart = group[source] != group[least]
+    found = np.unique(np.stack((rep[source[apart]], rep[least[apart]]), 1), axis=0)
     return found[:, 0], found[:, 1]
 
 
@@ -257,31 +253,18 @@ def _blocks(wide: DataFrame) -> DataFrame:
     return wide.select(*(c for c in wide.columns if c != "fp"), F.posexplode(F.array(*parts)).alias("block", "value"))
 
 
-def first_pairs(wide: DataFrame) -> DataFrame:
-    """(u, v): every node and the smallest node of the largest set of nodes that have a block in common with it; wide: node, fp."""
-    own = _blocks(wide)
-    values = own.groupBy("block", "value").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    best = own.join(values, ["block", "value"]).groupBy("node").agg(F.max(F.struct("n", -F.col("rep"))).alias("x"))
-    return best.select(F.col("node").alias("u"), (-F.col("x.col2")).alias("v")).where("u <> v")
-
-
-def block_pairs(wide: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of nodes whose blocks differ in two bits at most in some place; wide: node (long), group, fp (as wide_fingerprints() gives it), a row a node.
+def variant_pairs(values: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of nodes that stand for values of a block within two bits; values: block, value, rep, group, a row for each distinct value.
 
-    Nodes of a group are known to be linked and not paired again. Equal blocks meet first, by an aggregation: of each value of a block the smallest node stands for
-    all, so that many like texts are one value. Every distinct value then emits its variants within one bit, half the radius, and those that are equal
-    meet; each is paired with the least and the greatest there, never all with all. Values are dealt by some of their bits: variants that keep
-    these travel as one row. How many bits follows from the number of tasks and changes no result.
+    Nodes of a group are known to be linked and not paired again. Every value emits its variants within one bit, half the radius, and those that are equal
+    meet; each is paired with the least there, never all with all. Values are dealt by some of their bits: variants that keep these travel as one row. How
+    many bits follows from the number of tasks and changes no result.
     """
-    own = _blocks(wide)
-    met = own.groupBy("block", "value").agg(F.min(F.struct("node", "group")).alias("rep"), F.min("group").alias("least"), F.max("group").alias("most"))
-    values, _ = written(met, "blocks")
-    alike = own.join(values.where("least <> most"), ["block", "value"]).where("group <> rep.group").select(F.greatest("node", "rep.node").alias("u"), F.least("node", "rep.node").alias("v"))
     tasks = max(1, -(-values.count() * (BLOCK_BITS + 1) // BLOCK_VARIANTS_A_TASK))
     bits = min(24, max(4, (8 * tasks // BLOCKS).bit_length()))
     low = (1 << bits) - 1
     ways = F.array(*(F.struct(F.lit(i).cast("byte").alias("flip"), F.col("value").bitwiseXOR(F.lit(1 << i if i >= 0 else 0).cast("long")).bitwiseAND(F.lit(low).cast("long")).cast("int").alias("key")) for i in range(-1, bits)))
-    sent = values.select(F.col("block").cast("byte").alias("block"), "value", F.col("rep.node").alias("rep"), F.col("rep.group").alias("group"), F.inline(ways)).repartition(tasks, "block", "key")
+    sent = values.select(F.col("block").cast("byte").alias("block"), "value", "rep", "group", F.inline(ways)).repartition(tasks, "block", "key")
     local = ((1 << BLOCK_BITS) - 1) & ~low
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +275,7 @@ def block_pairs(wide: DataFrame) -> DataFrame:
             for i in range(0, len(u), CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array(u[i : i + CHUNK]), pa.array(v[i : i + CHUNK])], ["u", "v"])
 
-    return alike.union(sent.mapInArrow(meet, "u long, v long")).distinct()
+    return sent.mapInArrow(meet, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
@@ -304,16 +287,18 @@ def verified(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_links(wide: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v), u > v, between nodes of like texts; wide: node (long), fp.
+    """Links (u, v), u > v, between nodes of like texts; wide: node (long), fp (as wide_fingerprints() gives it), a row a node.
 
-    First each node is tried with one that it most likely belongs to, and what that links is a group; then all pairs of blocks are tried that
-    groups do not link already, so that of a large group of copies only few pairs are. The closure is that of all pairs of blocks.
+    Equal blocks meet first, by an aggregation: of each value of a block the smallest node stands for all, and all are tried with it. What that links is a
+    group. Then the nodes that stand for values within two bits are tried, but for those of one group: of many copies of a text, only few pairs are left.
     """
-    first, _ = written(verified(first_pairs(wide), wide, similarity).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "first")
+    own = _blocks(wide)
+    values, _ = written(own.groupBy("block", "value").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "blocks")
+    alike = own.join(values.where("n > 1").drop("n"), ["block", "value"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct()
+    first, _ = written(verified(alike, wide, similarity), "first")
     roots, _ = components(first)
-    grouped = wide.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "fp")
-    grouped, _ = written(grouped, "grouped")
-    return first.union(verified(block_pairs(grouped), wide, similarity))
+    grouped = values.join(roots, F.col("rep") == F.col("node"), "left").select("block", "value", "rep", F.coalesce("root", "rep").alias("group"))
+    return first.union(verified(variant_pairs(grouped), wide, similarity))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
