@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,3 +42,17 @@ def gamma(seed: int, shape: int, *key: Column) -> Column:
     for i in range(shape):
         out = out - F.log1p(-uniform(seed, *key, F.lit(i)))
     return out
+
+
+def gamma_of(seed: int, shape: float, *key: object) -> float:
+    """Gamma deviate of scale 1 for plain values: exponential ones for the whole part of shape, and a share of one (by rejection) for the rest."""
+    whole = int(shape)
+    rest, out, turn = shape - whole, 0.0, 0
+    for i in range(whole):
+        out -= math.log1p(-uniform_of(seed, *key, i))
+    while rest > 0:
+        x, y = uniform_of(seed, *key, "x", turn) ** (1 / rest), uniform_of(seed, *key, "y", turn) ** (1 / (1 - rest))
+        if 0 < x + y <= 1:
+            return out - math.log1p(-uniform_of(seed, *key, "e", turn)) * x / (x + y)
+        turn += 1
+    return out

@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlake.functions.hashrng import uniform
+from driftlake.functions.hashrng import gamma_of, uniform
 from driftlake.sources.tables import settled
 
 
@@ -90,7 +89,7 @@ def label_probability(df: DataFrame, index: str, start: int, stop: int, target:
     """The rows of the range are drawn again from it, with replacement, so that classes have the given probabilities.
 
     Row index i takes the row at which the cumulative weight of the range (by class, then index) first passes a hash of i: class from the few class
-    totals, then the place in the class, so a draw is an equi-join on (class, place). Classes are gathered on the driver.
+    totals, then the place in the class, so a draw is an equi-join on (class, place). Places are numbered in parallel. Classes are gathered on the driver.
     """
     _check(df, index, target)
     every = sorted((r[0] for r in df.select(target).distinct().collect()), key=lambda c: (c is None, c))
@@ -100,7 +99,10 @@ def label_probability(df: DataFrame, index: str, start: int, stop: int, target:
     if not weight:
         return df
     others = [c for c in df.columns if c != index]
-    numbers = here.withColumn("place_", (F.row_number().over(Window.partitionBy(target).orderBy(index)) - 1).cast("long")).select(F.col(target).alias("class_"), "place_", *others)
+    numbered = with_index(here, [target, index], "at_")
+    firsts = numbered.groupBy(F.col(target).alias("class_")).agg(F.min("at_").alias("first_"))  # a row per class
+    placed = numbered.join(F.broadcast(firsts), F.col(target).eqNullSafe(F.col("class_")))
+    numbers = placed.select("class_", (F.col("at_") - F.col("first_")).alias("place_"), *others)
     u = uniform(seed, F.col(index))
     low, pick = 0.0, None
     chosen = sorted(weight, key=lambda c: (c is None, c))
@@ -118,9 +120,11 @@ def label_probability(df: DataFrame, index: str, start: int, stop: int, target:
 
 
 def label_dirichlet(df: DataFrame, index: str, start: int, stop: int, target: str, alpha: dict, seed: int = 0) -> DataFrame:
-    """label_probability() with probabilities drawn from Dirichlet(alpha)."""
-    drawn = np.random.default_rng(seed).dirichlet(list(alpha.values()))
-    return label_probability(df, index, start, stop, target, dict(zip(alpha, (float(p) for p in drawn), strict=True)), seed)
+    """label_probability() with probabilities drawn from Dirichlet(alpha): shares of gamma deviates by hashes of seed and class."""
+    if not alpha or min(alpha.values()) <= 0:
+        raise ValueError("alpha must be positive")
+    drawn = {c: gamma_of(seed, a, "dirichlet", c) for c, a in alpha.items()}
+    return label_probability(df, index, start, stop, target, {c: g / sum(drawn.values()) for c, g in drawn.items()}, seed)
 
 
 def brownian_noise(df: DataFrame, index: str, start: int, stop: int, col: str, x0: float, seed: int = 0) -> DataFrame:

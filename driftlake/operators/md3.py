@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlake.functions.hashrng import uniform, uniform_of
+from driftlake.operators.inject import with_index
 
 
 class Linear(NamedTuple):
@@ -55,17 +56,16 @@ def inside_margin(model: Linear, features: Sequence[str], mode: str = "functiona
 def reference_statistics(df: DataFrame, features: Sequence[str], label: str, k: int = 10, seed: int = 42, fit: Callable[[DataFrame], Linear] | None = None, mode: str = "functional", id_col: str | None = None) -> dict[str, float]:
     """length, md, md_std, acc, acc_std over k folds (population deviations): share inside the margin and accuracy on each fold of a model learnt from the others.
 
-    Folds are k equal parts of a hash order of the rows (of id_col, if given). df should be cached or cheap: it is read k times.
+    Folds are k equal parts of a hash order of the rows (of id_col, if given), numbered in parallel. The rows are written once and read k times.
     """
-    from pyspark.sql import Window
-
     fit = fit or (lambda part: fit_linear(part, features, label))
     key = [F.col(id_col)] if id_col else [F.col(c) for c in (*features, label)]
     n = df.count()
     if n < k:
         raise ValueError("fewer rows than folds")
     ranked = df.withColumn("turn_", uniform(seed, *key))
-    folds = ranked.withColumn("fold_", F.ntile(k).over(Window.orderBy("turn_", *key))) if n <= 1_000_000 else ranked.withColumn("fold_", F.floor(F.col("turn_") * k).cast("int") + 1)
+    order = ["turn_", *([id_col] if id_col else [*features, label])]
+    folds = with_index(ranked, order, "at_").withColumn("fold_", F.floor(F.col("at_") * k / n).cast("int") + 1)
     found = []
     for fold in range(1, k + 1):
         model = fit(folds.where(F.col("fold_") != fold))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +64,8 @@ def hdm_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
         share = lambda x: F.transform(x, lambda v: v / F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))
         return F.aggregate(F.zip_with(share(ref), share(test), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / 2
 
-    return hdm.hdm(orders(spark, sf_dir), "year", ["o_totalprice"], variation, detect_batch=3, statistic="stdev").select("batch", "total", "since", "distance", "epsilon", "threshold", "verdict")
+    found = hdm.hdm(orders(spark, sf_dir), "year", ["o_totalprice"], variation, detect_batch=3, statistic="stdev")
+    return found.select("batch", "total", "since", *(F.round(c, 9).alias(c) for c in ("distance", "epsilon", "threshold")), "verdict")
 
 
 def _first_year_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, kdq.KdqTree]:
@@ -76,7 +81,7 @@ def kdq_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [0] * tree.leaves
     for r in kdq.fill(t.where(F.col("year") == first + 1), tree, FEATURES).collect():  # one row per cell
         counts[r["leaf"]] = r["n"]
-    return kdq.node_table(spark, tree, FEATURES, counts)
+    return kdq.node_table(spark, tree, FEATURES, counts).withColumn("kss", F.round("kss", 9))
 
 
 def kdq_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,36 +89,47 @@ def kdq_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdq.fill(t, tree, FEATURES, ["year"])
 
 
+def kdq_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The divergence of every later year from the first over the cells of its tree."""
+    t, first, tree = _first_year_tree(spark, sf_dir)
+    counts = {}
+    for r in kdq.fill(t.where(F.col("year") > first), tree, FEATURES, ["year"]).collect():  # a row per year and cell
+        counts.setdefault(r["year"], np.zeros(tree.leaves))[r["leaf"]] = r["n"]
+    rows = [(y, round(kdq.divergence(tree.leaf_counts(), c), 9)) for y, c in sorted(counts.items())]
+    return spark.createDataFrame(rows, "year long, distance double")
+
+
 def kdq_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdq.kdq_batches(lines(spark, sf_dir), "year", FEATURES, count_ubound=200)
 
 
-def _embeddings(spark: SparkSession, sf_dir: str, width: int | None = None) -> DataFrame:
-    """vec_id, label, x: the whole vector, or its first width components."""
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label, x: the whole vector."""
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    x = F.col("embedding").cast("array<double>") if width is None else F.array(*(F.get("embedding", F.lit(i)).cast("double") for i in range(width)))
-    return t.select("vec_id", "label", x.alias("x"))
+    return t.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-def _knn_edges(width: int | None = None):
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every vector."""
+    points = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "x")
+    return nn.neighbours(points, 5).select("src", "dst", F.col("rank").cast("long").alias("rank"))
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        points = _embeddings(spark, sf_dir, width).select(F.col("vec_id").alias("id"), "x")
-        return nn.neighbours(points, 5).select("src", "dst", F.col("rank").cast("long").alias("rank"))
 
-    return query
+def _by_parity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges to the 5 nearest of every vector, and the vectors in two samples, by even and odd labels."""
+    even = (F.col("label") % 2 == 0).cast("long")
+    points = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", even.alias("in_1"), (1 - even).alias("in_2"))
+    return nn.neighbours(points.select("id", "x"), 5), points
 
 
-def _nnps_density(width: int | None = None):
+def nnps_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector, how many of the even and of the odd labels have it among their 5 nearest."""
+    return nn.shared_density(*_by_parity(spark, sf_dir))
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = _embeddings(spark, sf_dir, width)
-        points = t.select(F.col("vec_id").alias("id"), "x", (F.col("label") % 2 == 0).cast("long").alias("in_1"), (F.col("label") % 2 != 0).cast("long").alias("in_2"))
-        return nn.shared_density(nn.neighbours(points.select("id", "x"), 5), points)
 
-    return query
+def nnps_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How unevenly even and odd labels share neighbourhoods."""
+    return spark.createDataFrame([(round(nn.nnps_distance(*_by_parity(spark, sf_dir)), 9),)], "distance double")
 
 
 def nndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +145,13 @@ def ensemble_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.batch_ensemble({"hdddm": d3, "kdq": tree}, "batch", ensemble.minimum(1)).select("batch", "verdict")
 
 
+def ensemble_batch_hdm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two divergences, one of which is enough."""
+    t = lines(spark, sf_dir)
+    member = lambda kind: hdm.hdm(t, "year", FEATURES, kind, detect_batch=3, statistic="stdev", significance=0.5).select("batch", "verdict")
+    return ensemble.batch_ensemble({"hellinger": member("H"), "js": member("KL")}, "batch", ensemble.minimum(1)).select("batch", "verdict")
+
+
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inject.with_index(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), ["c_custkey"])
 
@@ -170,8 +193,10 @@ def brownian_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def example_batch_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generated table, whose size does not depend on sf_dir."""
-    return datasets.example_batches(spark)
+    """The generated table, whose size does not depend on sf_dir; its numbers to three digits, confidence to nine."""
+    t = datasets.example_batches(spark)
+    places = {**dict.fromkeys("abcdefghij", 3), "confidence": 9}
+    return t.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in t.columns))
 
 
 def validate_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,13 +216,13 @@ QUERIES = {
     "kdq_nodes": kdq_nodes,
     "kdq_fill": kdq_fill,
     "kdq_batch": kdq_batch,
-    # The SQL of knn_edges and nnps_density reads three components of each vector, and so do they; the _whole ones read all.
-    "knn_edges": _knn_edges(3),
-    "nnps_density": _nnps_density(3),
-    "knn_edges_whole": _knn_edges(),
-    "nnps_density_whole": _nnps_density(),
+    "kdq_kl": kdq_kl,
+    "knn_edges": knn_edges,
+    "nnps_density": nnps_density,
+    "nnps_distance": nnps_distance,
     "nndvi": nndvi,
     "ensemble_batch": ensemble_batch,
+    "ensemble_batch_hdm": ensemble_batch_hdm,
     "inject_shift": inject_shift,
     "inject_swap": inject_swap,
     "inject_cover": inject_cover,
@@ -210,26 +235,148 @@ QUERIES = {
     "validate_schema": validate_schema,
 }
 
-_BINS = """
-    l AS (SELECT year(l_shipdate) AS b, unnest([0, 1, 2]) AS f, unnest([l_quantity, l_extendedprice, l_discount]) AS v FROM lineitem),
+_LINES = "SELECT year(l_shipdate) AS b, unnest([0, 1, 2]) AS f, unnest([l_quantity, l_extendedprice, l_discount]) AS v FROM lineitem"
+_ORDERS = "SELECT year(o_orderdate) AS b, 0 AS f, o_totalprice AS v FROM orders"
+
+
+def _bins(source: str) -> str:
+    """h: shares r and t of reference and test in every bin, for all starts and batches."""
+    return f"""
+    l AS ({source}),
     y AS (SELECT DISTINCT b FROM l), p AS (SELECT s.b AS start, t.b AS batch FROM y s JOIN y t ON s.b < t.b),
     st AS (SELECT b, f, min(v) AS lo, max(v) AS hi, count(*) AS n FROM l GROUP BY ALL),
     ed AS (SELECT start, batch, f, min(lo) AS lo, max(hi) AS hi, sum(CASE WHEN b < batch THEN n ELSE 0 END) AS rn, sum(CASE WHEN b = batch THEN n ELSE 0 END) AS tn,
       CAST(floor(sqrt(sum(CASE WHEN b < batch THEN n ELSE 0 END))) AS BIGINT) AS k FROM p JOIN st ON b BETWEEN start AND batch GROUP BY start, batch, f),
     h AS (SELECT start, batch, ed.f, rn, tn, least(CAST(floor((v - lo) / (hi - lo) * k) AS BIGINT), k - 1) AS bin, sum((b < batch)::INT) / rn::DOUBLE AS r, sum((b = batch)::INT) / tn::DOUBLE AS t
       FROM ed JOIN l ON l.f = ed.f AND b BETWEEN start AND batch GROUP BY start, batch, ed.f, rn, tn, bin),"""
+
+
 _HALF = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * ln({a} * 2 / ({a} + {b})) ELSE 0 END"
-_DISTANCES = {"H": "sqrt(sum(pow(sqrt(t) - sqrt(r), 2)))", "KL": f"sqrt(greatest(0, sum(({_HALF('r', 't')} + {_HALF('t', 'r')}) / 2)))", "intersection": "1 - sum(least(r, t))"}
+_DISTANCES = {"H": "sqrt(sum(pow(sqrt(t) - sqrt(r), 2)))", "KL": f"sqrt(greatest(0, sum(({_HALF('r', 't')} + {_HALF('t', 'r')}) / 2)))", "intersection": "1 - sum(least(r, t))", "variation": "sum(abs(r - t)) / 2"}
 
 
 def _pairs_sql(kind: str) -> str:
-    return f"WITH {_BINS} d AS (SELECT start, batch, f, {_DISTANCES[kind]} AS distance FROM h GROUP BY start, batch, f) SELECT start, batch, CAST(f AS BIGINT) AS f, round(distance, 9) AS distance FROM d"
+    return f"WITH {_bins(_LINES)} d AS (SELECT start, batch, f, {_DISTANCES[kind]} AS distance FROM h GROUP BY start, batch, f) SELECT start, batch, CAST(f AS BIGINT) AS f, round(distance, 9) AS distance FROM d"
+
+
+def _drawn_sql(subsets: int = 5) -> str:
+    """e0: for every start the bootstrapped epsilon of two batches as reference, from Hellinger distances between subsets drawn by hashes of the features."""
+    key = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in FEATURES)
+    limits, p, total = [], math.exp(1 / subsets - 1), 0.0
+    for i in range(12):
+        total += p
+        limits.append(total)
+        p *= (1 - 1 / subsets) / (i + 1)
+    u = lambda s: f"CAST(('0x' || substr(md5(CAST(start + 2 - b0 AS VARCHAR) || ':{s}:' || {key}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    times = lambda s: "+".join(f"(u{s} >= {x!r}::DOUBLE)::INT" for x in limits)
+    of = lambda name: ", ".join(name(s) for s in range(subsets))
+    pairs = [(i, j) for i in range(subsets) for j in range(i + 1, subsets)]
+    gaps = " + ".join(f"abs(d{a} - d{b})" for a in range(len(pairs)) for b in range(a + 1, len(pairs)))
+    return f"""
+    dw AS (SELECT start, unnest([0, 1, 2]) AS f, unnest([l_quantity, l_extendedprice, l_discount]) AS v, {of(lambda s: f"{times(s)} AS c{s}")} FROM (
+      SELECT start, l_quantity, l_extendedprice, l_discount, {of(lambda s: f"{u(s)} AS u{s}")} FROM lineitem JOIN (SELECT b AS start, min(b) OVER () AS b0 FROM y) ON year(l_shipdate) IN (start, start + 1))),
+    db AS (SELECT dw.start, dw.f, least(CAST(floor((v - lo) / (hi - lo) * k) AS BIGINT), k - 1) AS bin, {of(lambda s: f"sum(c{s}) AS c{s}")} FROM dw JOIN ed ON ed.start = dw.start AND ed.batch = dw.start + 2 AND ed.f = dw.f GROUP BY 1, 2, 3),
+    dn AS (SELECT start, f, {of(lambda s: f"sum(c{s}) AS n{s}")} FROM db GROUP BY start, f),
+    df AS (SELECT start, f, {", ".join(f"sqrt(sum(pow(sqrt(c{j}::DOUBLE / n{j}) - sqrt(c{i}::DOUBLE / n{i}), 2))) AS d{a}" for a, (i, j) in enumerate(pairs))} FROM db JOIN dn USING (start, f) GROUP BY start, f),
+    e0 AS (SELECT start AS s0, ({gaps}) / {subsets} AS e0 FROM (SELECT start, {", ".join(f"sum(d{a}) AS d{a}" for a in range(len(pairs)))} FROM df GROUP BY start)),"""
+
+
+def _student_sql(df: str) -> str:
+    """The 0.975 quantile of Student's distribution for many degrees of freedom, as a series around the normal one."""
+    z = NormalDist().inv_cdf(0.975)
+    terms = (z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return "(" + " + ".join(f"{v!r}::DOUBLE / pow({df}, {i})" for i, v in enumerate(terms)) + ")"
+
+
+def _hdm_sql(source: str, kind: str, names: list[str], significance: float | None, out: str) -> str:
+    """Batches from the third of an epoch on are tested by mean and deviation, with a number for significance; without, from the second on by Student's distribution and a bootstrap."""
+    n = len(names)
+    boot = significance is None
+    gap = "abs(distance - prev)"
+    eps = f"CASE WHEN since = 2 THEN [e0, {gap}] WHEN since = 3 THEN [eps0[-1], {gap}] WHEN since > 3 THEN list_append(eps0, {gap}) ELSE eps0 END" if boot else f"CASE WHEN since >= 2 THEN list_append(eps0, {gap}) ELSE eps0 END"
+    es = "CASE WHEN since = 2 THEN e0 WHEN since = 3 THEN eps[-2] WHEN since > 3 THEN es0 + eps[-2] ELSE es0 END" if boot else "es0 + CASE WHEN since >= 3 THEN eps[-2] ELSE 0 END"
+    scale = "(CASE WHEN since = 2 THEN 1 ELSE total - lam - 1 END)" if boot else "(total - lam - 1)"
+    sd = f"sqrt(list_sum(list_transform(eps[:-2], lambda e: pow(e - es / {scale}, 2))) / {scale})"
+    threshold = f"CASE WHEN since >= 2 THEN es / {scale} + {_student_sql('(rn + tn - 2)')} * {sd} / sqrt({scale}) END" if boot else f"CASE WHEN since >= 3 THEN es / {scale} + {significance}::DOUBLE * {sd} END"
+    named = ", ".join(f"'{c}'" for c in names)
+    feature = f"CASE WHEN verdict IS NOT NULL THEN [{named}][list_position(gap, list_max(gap))] END" if n > 1 else "NULL"
+    return f"""
+        WITH RECURSIVE {_bins(source)} {_drawn_sql() if boot else ""} d AS (SELECT start, batch, f, max(rn) AS rn, max(tn) AS tn, {_DISTANCES[kind]} AS distance FROM h GROUP BY start, batch, f),
+        fe AS (SELECT start, batch, max(rn) AS rn, max(tn) AS tn, list(distance ORDER BY f) AS fs FROM d GROUP BY start, batch),
+        z AS (SELECT min(b) AS b0, max(b) AS b1 FROM y),
+        g AS (SELECT b0 AS batch, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS epsilon, CAST(NULL AS DOUBLE) AS threshold,
+            CAST(NULL AS VARCHAR) AS verdict, b0 AS start, CAST(0 AS BIGINT) AS lam, 0.0::DOUBLE AS prev, CAST([{", ".join("0" * n)}] AS DOUBLE[]) AS prev_f, CAST([] AS DOUBLE[]) AS eps, 0.0::DOUBLE AS es, CAST(NULL AS VARCHAR) AS feature FROM z
+          UNION ALL
+          SELECT batch, total, since, distance, epsilon, threshold, verdict, start, CASE WHEN verdict IS NULL THEN lam ELSE total END, CASE WHEN verdict IS NULL THEN distance ELSE prev END,
+            CASE WHEN verdict IS NULL THEN fs ELSE prev_f END, eps, es, {feature} FROM (
+          SELECT *, CASE WHEN epsilon > threshold THEN 'drift' END AS verdict, [{", ".join(f"fs[{i}] - prev_f[{i}]" for i in range(1, n + 1))}] AS gap FROM (
+          SELECT *, {threshold} AS threshold FROM (
+          SELECT *, {es} AS es FROM (
+          SELECT *, {eps} AS eps, CASE WHEN since >= 2 THEN {gap} END AS epsilon FROM (
+          SELECT fe.batch, g.total + 1 AS total, CASE WHEN g.verdict IS NULL THEN g.since ELSE 0 END + 1 AS since, ({" + ".join(f"fs[{i}]" for i in range(1, n + 1))}) / {n} AS distance, fs, fe.start, fe.rn, fe.tn, g.lam, g.prev, g.prev_f,
+            CASE WHEN g.verdict IS NULL THEN g.eps ELSE [] END AS eps0, CASE WHEN g.verdict IS NULL THEN g.es ELSE 0 END AS es0 {", e0" if boot else ""}
+          FROM g JOIN fe ON fe.batch = g.batch + 1 AND fe.start = CASE WHEN g.verdict IS NULL THEN g.start ELSE g.batch END {"LEFT JOIN e0 ON s0 = fe.start" if boot else ""}))))))
+        SELECT {out} FROM g"""
+
+
+_ROUNDED = "round(distance, 9) AS distance, round(epsilon, 9) AS epsilon, round(threshold, 9) AS threshold, verdict"
+_HDDDM_OUT = f"batch, total, since, {_ROUNDED}, start AS reference_from, feature AS drift_feature"
+_KDQ = f"""WITH RECURSIVE a AS (SELECT row_number() OVER () AS id, year(l_shipdate) AS y, [{", ".join(f"{c}::DOUBLE" for c in FEATURES)}] AS x FROM lineitem),
+    z AS (SELECT min(y) AS y0 FROM a), u AS (SELECT greatest(100, count(*) // 20) AS ub FROM a, z WHERE y = y0),
+    t AS (SELECT id, x, x[f] AS v, '' AS path, 0 AS depth FROM a, z, (SELECT unnest([1, 2, 3]) AS f) WHERE y = y0
+      UNION ALL SELECT id, x, v, path || CASE WHEN x[depth % 3 + 1] <= lo + (hi - lo) / 2 THEN '0' ELSE '1' END, depth + 1 FROM (
+        SELECT *, max(dr) OVER (PARTITION BY path) AS kinds FROM (
+        SELECT *, min(x[depth % 3 + 1]) OVER (PARTITION BY path) AS lo, max(x[depth % 3 + 1]) OVER (PARTITION BY path) AS hi, count(*) OVER (PARTITION BY path) // 3 AS n, dense_rank() OVER (PARTITION BY path ORDER BY v) AS dr FROM t)), u
+        WHERE n > ub AND hi > lo AND kinds > ub),
+    k AS (SELECT path, depth, count(*) // 3 AS n, min(x[depth % 3 + 1]) AS lo, max(x[depth % 3 + 1]) AS hi, count(DISTINCT v) AS kinds FROM t GROUP BY path, depth),
+    nd AS (SELECT *, n > ub AND hi > lo AND kinds > ub AS split, lo + (hi - lo) / 2 AS mid, row_number() OVER (ORDER BY path) - 1 AS node_id FROM k, u),
+    lf AS (SELECT *, CASE WHEN NOT split THEN CAST(sum((NOT split)::INT) OVER (ORDER BY path) - 1 AS INTEGER) END AS leaf FROM nd),
+    w AS (SELECT id, y, x, '' AS path FROM a UNION ALL SELECT w.id, y, x, w.path || CASE WHEN x[depth % 3 + 1] <= mid THEN '0' ELSE '1' END FROM w JOIN lf ON lf.path = w.path WHERE split)"""
+_TWO_CELLS = lambda c, d: f"(({c} + 0.5::DOUBLE) / ({c} + {d} + 1))"
+
+
+def _labels_sql(share: str) -> str:
+    return f"""
+        WITH c AS {_CUSTOMERS}, r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY row_idx) - 1 AS place FROM c WHERE row_idx < 120),
+        s AS (SELECT class, n, {share} AS share FROM (SELECT c_mktsegment AS class, count(*) AS n FROM r GROUP BY 1)),
+        w AS (SELECT *, coalesce(sum(share) OVER (ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, row_number() OVER (ORDER BY class DESC) = 1 AS last FROM s),
+        p AS (SELECT row_idx, class AS taken, CAST(least(greatest(floor((u - low) / nullif(share / n, 0)), 0), n - 1) AS BIGINT) AS at_place FROM (SELECT row_idx, {uniform_sql(7, "row_idx")} AS u FROM r) JOIN w ON u >= low AND (u < low + share OR last))
+        SELECT row_idx, c_custkey, c_mktsegment FROM c WHERE row_idx >= 120 UNION ALL SELECT p.row_idx, r.c_custkey, r.c_mktsegment FROM p JOIN r ON r.c_mktsegment = taken AND r.place = at_place"""
+
+
+def _gamma_sql(seed: int, shape: int, *key: str) -> str:
+    return "(-(" + " + ".join(f"ln(1 - {uniform_sql(seed, *key, str(i))})" for i in range(shape)) + "))"
+
+
+def _example_sql() -> str:
+    g = lambda name, shape: _gamma_sql(123, shape, f"'{name}'", "row_idx")
+    u = lambda *key: uniform_sql(123, *(f"'{k}'" if k != "row_idx" else k for k in key))
+    z = lambda name: f"(sqrt(-2 * ln(1 - {u(name, 'row_idx', 'u')})) * cos({u(name, 'row_idx', 'v')} * 6.283185307179586::DOUBLE))"
+    columns = {
+        "a": f"{g('a', 8)} * 1000",
+        "b": f"CASE WHEN year = 2009 THEN 500 ELSE 200 END + 10 * {z('b')}",
+        "c": f"CASE WHEN year = 2012 AND row_idx % 10 = 0 THEN 7000 + 10 * {z('c')} ELSE {g('c', 7)} * 1000 END",
+        "d": f"CASE WHEN year = 2012 AND row_idx % 2 = 0 THEN 100000 + 10 * {z('d')} ELSE {g('d', 10)} * 10000 END",
+        "e": f"{z('e')} * sqrt(2.0::DOUBLE)",
+        "f": f"CASE WHEN year = 2015 THEN {z('e')} * sqrt(0.5::DOUBLE) + {z('f')} * sqrt(1.5::DOUBLE) ELSE {z('f')} * sqrt(2.0::DOUBLE) END",
+        "g": f"{g('g', 11)} * 10000",
+        "h": f"CASE WHEN year > 2018 THEN {g('h', 1)} ELSE {g('h', 12)} END * 1000",
+        "i": f"{g('i', 9)} * 1000",
+        "j": f"{g('j', 10)} * CASE WHEN year = 2021 THEN 10 ELSE 100 END",
+    }
+    cat = " + ".join(f"({u('cat', 'row_idx')} >= {x}::DOUBLE)::INT" for x in (0.3, 0.6, 0.8, 0.9, 0.95, 0.99))
+    numbers = ", ".join(f"round({sql}, 3) + 0.0 AS {name}" for name, sql in columns.items())
+    return f"""SELECT row_idx, year, {numbers}, {cat} AS cat, round(CASE WHEN year > 2018 THEN 0.4::DOUBLE ELSE 0 END + 0.6::DOUBLE * {u('confidence', 'row_idx')}, 9) AS confidence, year IN (2009, 2012, 2015, 2018, 2021) AS drift
+        FROM (SELECT range AS row_idx, 2007 + range // 20000 AS year FROM range(300000))"""
 
 
 _INDEX = lambda t, k: f"(SELECT *, row_number() OVER (ORDER BY {k}) - 1 AS row_idx FROM {t})"
 _CUSTOMERS, _PARTS = _INDEX("customer", "c_custkey"), _INDEX("part", "p_partkey")
-_KNN = """WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
-    k AS (SELECT x.vec_id AS src, y.vec_id AS dst, x.label AS label, row_number() OVER (PARTITION BY x.vec_id ORDER BY pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2), y.vec_id) AS rank FROM v x CROSS JOIN v y)"""
+_KNN = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    k AS (SELECT x.vec_id AS src, y.vec_id AS dst, x.label AS label, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.e, y.e), y.vec_id) AS rank FROM v x CROSS JOIN v y),
+    n AS (SELECT dst, CAST(sum((label % 2 = 0)::INT) AS BIGINT) AS a, CAST(sum((label % 2 <> 0)::INT) AS BIGINT) AS b FROM k WHERE rank <= 5 GROUP BY dst)"""
+
+_DIRICHLET = [_gamma_sql(7, shape, "'dirichlet'", f"'{c}'") for c, shape in (("BUILDING", 5), ("MACHINERY", 1))]
 
 ORACLE_SQL = {
     "hist_density": """
@@ -238,25 +385,28 @@ ORACLE_SQL = {
     "hellinger_pairs": _pairs_sql("H"),
     "js_pairs": _pairs_sql("KL"),
     "intersection_pairs": _pairs_sql("intersection"),
-    "hdddm_d3": f"""
-        WITH RECURSIVE {_BINS} d AS (SELECT start, batch, f, {_DISTANCES["H"]} AS distance FROM h GROUP BY start, batch, f),
-        fe AS (SELECT start, batch, list(distance ORDER BY f) AS fs FROM d GROUP BY start, batch),
-        z AS (SELECT min(b) AS b0, max(b) AS b1 FROM y),
-        g AS (SELECT b0 AS batch, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS epsilon, CAST(NULL AS DOUBLE) AS threshold,
-            CAST(NULL AS VARCHAR) AS verdict, b0 AS start, CAST(0 AS BIGINT) AS lam, 0.0::DOUBLE AS prev, CAST([0, 0, 0] AS DOUBLE[]) AS prev_f, CAST([] AS DOUBLE[]) AS eps, 0.0::DOUBLE AS es, CAST(NULL AS VARCHAR) AS feature FROM z
-          UNION ALL
-          SELECT batch, total, since, distance, epsilon, threshold, verdict, start, CASE WHEN verdict IS NULL THEN lam ELSE total END, CASE WHEN verdict IS NULL THEN distance ELSE prev END,
-            CASE WHEN verdict IS NULL THEN fs ELSE prev_f END, eps, es, CASE WHEN verdict IS NOT NULL THEN ['l_quantity', 'l_extendedprice', 'l_discount'][list_position(gap, list_max(gap))] END FROM (
-          SELECT *, CASE WHEN epsilon > threshold THEN 'drift' END AS verdict, [fs[1] - prev_f[1], fs[2] - prev_f[2], fs[3] - prev_f[3]] AS gap FROM (
-          SELECT *, CASE WHEN since >= 3 THEN es / (total - lam - 1) + 0.5::DOUBLE * sqrt(list_sum(list_transform(eps[:-2], lambda e: pow(e - es / (total - lam - 1), 2))) / (total - lam - 1)) END AS threshold FROM (
-          SELECT *, es0 + CASE WHEN since >= 3 THEN eps[-2] ELSE 0 END AS es FROM (
-          SELECT *, CASE WHEN since >= 2 THEN list_append(eps0, abs(distance - prev)) ELSE eps0 END AS eps, CASE WHEN since >= 2 THEN abs(distance - prev) END AS epsilon FROM (
-          SELECT fe.batch, g.total + 1 AS total, CASE WHEN g.verdict IS NULL THEN g.since ELSE 0 END + 1 AS since, (fs[1] + fs[2] + fs[3]) / 3 AS distance, fs, fe.start, g.lam, g.prev, g.prev_f,
-            CASE WHEN g.verdict IS NULL THEN g.eps ELSE [] END AS eps0, CASE WHEN g.verdict IS NULL THEN g.es ELSE 0 END AS es0
-          FROM g JOIN fe ON fe.batch = g.batch + 1 AND fe.start = CASE WHEN g.verdict IS NULL THEN g.start ELSE g.batch END))))))
-        SELECT batch, total, since, round(distance, 9) AS distance, round(epsilon, 9) AS epsilon, round(threshold, 9) AS threshold, verdict, start AS reference_from, feature AS drift_feature FROM g""",
+    "hdddm_d3": _hdm_sql(_LINES, "H", FEATURES, 0.5, _HDDDM_OUT),
+    "hdddm_d2": _hdm_sql(_LINES, "H", FEATURES, None, _HDDDM_OUT),
+    "hdm_custom_divergence": _hdm_sql(_ORDERS, "variation", ["o_totalprice"], 0.05, f"batch, total, since, {_ROUNDED}"),
+    "ensemble_batch_hdm": f"""
+        SELECT batch, CASE WHEN a.verdict = 'drift' OR b.verdict = 'drift' THEN 'drift' END AS verdict FROM ({_hdm_sql(_LINES, "H", FEATURES, 0.5, "batch, verdict")}) a JOIN ({_hdm_sql(_LINES, "KL", FEATURES, 0.5, "batch, verdict")}) b USING (batch)""",
+    "kdq_nodes": f"""{_KDQ}, c AS (SELECT path, count(*) AS m FROM w, z WHERE y = y0 + 1 GROUP BY path),
+        q AS (SELECT lf.*, coalesce(m, 0) AS m, max(n) OVER () AS n0, max(coalesce(m, 0)) OVER () AS m0 FROM lf LEFT JOIN c USING (path))
+        SELECT q.node_id, p.node_id AS parent_id, CASE WHEN p.path IS NULL THEN 'kdqTree' ELSE ['l_quantity', 'l_extendedprice', 'l_discount'][p.depth % 3 + 1] || CASE WHEN q.path[-1] = '0' THEN ' <= ' ELSE ' > ' END || CAST(round(p.mid, 3) AS VARCHAR) END AS name,
+          q.depth, CASE WHEN q.split THEN q.depth % 3 END AS axis, CASE WHEN q.split THEN q.mid END AS midpoint, NOT q.split AS is_leaf, q.leaf, q.n AS cell_count, m - q.n AS count_diff,
+          round({_TWO_CELLS("q.n", "(n0 - q.n)")} * ln({_TWO_CELLS("q.n", "(n0 - q.n)")} / {_TWO_CELLS("m", "(m0 - m)")}) + {_TWO_CELLS("(n0 - q.n)", "q.n")} * ln({_TWO_CELLS("(n0 - q.n)", "q.n")} / {_TWO_CELLS("(m0 - m)", "m")}), 9) AS kss
+        FROM q LEFT JOIN nd p ON q.path <> '' AND p.path = left(q.path, length(q.path) - 1)""",
+    "kdq_fill": f"{_KDQ} SELECT y AS year, leaf, count(*) AS n FROM w JOIN lf USING (path) WHERE NOT split GROUP BY y, leaf",
+    "kdq_kl": f"""{_KDQ}, c AS (SELECT y, leaf, count(*) AS m FROM w JOIN lf USING (path) WHERE NOT split GROUP BY y, leaf),
+        q AS (SELECT v.y, (n + 0.5::DOUBLE) / (sum(n) OVER (PARTITION BY v.y) + count(*) OVER (PARTITION BY v.y) / 2.0::DOUBLE) AS p, (coalesce(m, 0) + 0.5::DOUBLE) / (sum(coalesce(m, 0)) OVER (PARTITION BY v.y) + count(*) OVER (PARTITION BY v.y) / 2.0::DOUBLE) AS q
+          FROM lf CROSS JOIN (SELECT DISTINCT y FROM a, z WHERE y > y0) v LEFT JOIN c ON c.y = v.y AND c.leaf = lf.leaf WHERE NOT split)
+        SELECT y AS year, round(sum(p * ln(p / q)), 9) AS distance FROM q GROUP BY y""",
     "knn_edges": f"{_KNN} SELECT src, dst, rank FROM k WHERE rank <= 5",
-    "nnps_density": f"{_KNN} SELECT dst, CAST(sum((label % 2 = 0)::INT) AS BIGINT) AS a, CAST(sum((label % 2 <> 0)::INT) AS BIGINT) AS b FROM k WHERE rank <= 5 GROUP BY dst",
+    "nnps_density": f"{_KNN} SELECT * FROM n",
+    "nnps_distance": f"{_KNN} SELECT round(avg(abs(a - b) / (a + b)), 9) AS distance FROM n",
+    "label_probability": _labels_sql("CASE class WHEN 'BUILDING' THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END"),
+    "label_dirichlet": _labels_sql(f"CASE class WHEN 'BUILDING' THEN {_DIRICHLET[0]} / ({_DIRICHLET[0]} + {_DIRICHLET[1]}) WHEN 'MACHINERY' THEN {_DIRICHLET[1]} / ({_DIRICHLET[0]} + {_DIRICHLET[1]}) ELSE 0 END"),
+    "example_batch_data": _example_sql(),
     "inject_shift": f"""
         WITH p AS {_PARTS}, m AS (SELECT 0.5::DOUBLE * (0.001::DOUBLE + avg(p_size)) AS d FROM p WHERE row_idx BETWEEN 10 AND 109)
         SELECT row_idx, p_partkey, round(CASE WHEN row_idx BETWEEN 10 AND 109 THEN p_size + d ELSE p_size END, 6) AS p_size FROM p, m""",

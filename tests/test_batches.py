@@ -192,9 +192,9 @@ def test_whole_vectors_against_brute_force(spark):
     ids, labels, x = np.array([r.vec_id for r in rows]), np.array([r.label for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     nearest = lambda x, k: ((x[:, None] - x[None]) ** 2).sum(2).argsort(1, kind="stable")[:, :k]
     near = nearest(x, 5)
-    got = {(r.src, r["rank"]): r.dst for r in batch_queries.QUERIES["knn_edges_whole"](spark, d).collect()}
+    got = {(r.src, r["rank"]): r.dst for r in batch_queries.QUERIES["knn_edges"](spark, d).collect()}
     assert got == {(ids[i], j + 1): ids[near[i, j]] for i in range(len(x)) for j in range(5)}
-    dense = {r.dst: (r.a, r.b) for r in batch_queries.QUERIES["nnps_density_whole"](spark, d).collect()}
+    dense = {r.dst: (r.a, r.b) for r in batch_queries.QUERIES["nnps_density"](spark, d).collect()}
     assert dense == {ids[j]: tuple(int((labels[(near == j).any(1)] % 2 == odd).sum()) for odd in (0, 1)) for j in set(near.ravel())}
     first = batch_queries.QUERIES["nndvi"](spark, d).orderBy("total").first()
     both = labels % 3 <= 1
