@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.operators.fold import Detector, run_fold
+from driftlake.operators.fold import Detector, Step, run_fold
 
 #: From an array of verdicts, one per member in the order of the members, to the verdict of the whole.
 Election = Callable[[Column], Column]
@@ -96,10 +96,79 @@ def elect(members: DataFrame, election: Election | Confirmed, key: Sequence[str]
     return members.withColumn("verdict", election(F.col("verdicts")))
 
 
-def stream_ensemble(df: DataFrame, detectors: dict[str, Detector], key: Sequence[str], order: Sequence[str], inputs: dict[str, dict] | None = None, selectors: dict[str, Callable[[DataFrame], DataFrame]] | None = None, election: Election | Confirmed | None = None) -> DataFrame:
-    """Every detector over df (through its selector, if any), and the election. inputs: for each detector its arguments as columns."""
+class Together(Step):
+    """Several detectors over the same rows, in one pass: each takes its arguments out of a struct of its own, and passes over rows where one is null."""
+
+    output = "verdicts array<string>, seen array<boolean>, firsts array<long>, lasts array<long>"
+
+    def __init__(self, detectors: dict[str, Detector]):
+        self.detectors = list(detectors.values())
+        self.inputs = tuple(f"of_{i}" for i in range(len(self.detectors)))
+
+    def start(self) -> dict:
+        return {"members": [d.start() for d in self.detectors]}
+
+    def step(self, s: dict, *arguments) -> tuple:
+        out = []
+        for detector, state, x in zip(self.detectors, s["members"], arguments, strict=True):
+            values = [x[n] for n in detector.inputs]
+            if any(v is None for v in values):
+                out.append((None, False, None, None))
+            else:
+                verdict, _, _, first, last, *_ = detector.step(state, *values)
+                out.append((verdict, True, first, last))
+        return tuple(map(list, zip(*out, strict=True)))
+
+
+def stream_members(
+    df: DataFrame,
+    detectors: dict[str, Detector],
+    key: Sequence[str],
+    order: Sequence[str],
+    inputs: dict[str, dict] | None = None,
+) -> DataFrame:
+    """key, order, verdicts, drift_states and retraining_recs as members_of() gives them, from one fold over df: one scan, one shuffle, one sort.
+
+    Rows that no member can read, for nulls in its arguments, are left out; a member that cannot read a row has no verdict and no recommendation there.
+    Repeated rows are rows of their own. inputs: for each detector its arguments as columns or expressions.
+    """
+    names = list(detectors)
+    given = [{n: (inputs or {}).get(name, {}).get(n, n) for n in d.inputs} for name, d in detectors.items()]
+    column = lambda c: F.expr(c) if isinstance(c, str) else c
+    arguments = [F.struct(*(column(c).alias(n) for n, c in g.items())) for g in given]
+    read = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (column(c).isNotNull() for c in g.values())) for g in given))
+    found = run_fold(df.where(read), Together(detectors), key, order, {f"of_{i}": a for i, a in enumerate(arguments)})
+    labels = F.array(*(F.lit(n) for n in names))
+    recs = F.transform(F.arrays_zip("seen", "firsts", "lasts"), lambda r: F.when(r["seen"], F.struct(r["firsts"].alias("first"), r["lasts"].alias("last"))))
+    return found.select(
+        *key,
+        *order,
+        "verdicts",
+        F.map_from_arrays(labels, F.col("verdicts")).alias("drift_states"),
+        F.map_filter(F.map_from_arrays(labels, recs), lambda _, r: r.isNotNull()).alias("retraining_recs"),
+    )
+
+
+def stream_ensemble(
+    df: DataFrame,
+    detectors: dict[str, Detector],
+    key: Sequence[str],
+    order: Sequence[str],
+    inputs: dict[str, dict] | None = None,
+    selectors: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    election: Election | Confirmed | None = None,
+) -> DataFrame:
+    """Every detector over df (through its selector, if any), and the election. inputs: for each detector its arguments as columns.
+
+    Without selectors all members are met in one fold; a selector gives its member a table of its own, so then each folds apart.
+    """
     on = [*key, *order]
-    traces = {n: run_fold((selectors or {}).get(n, lambda x: x)(df), d, key, order, (inputs or {}).get(n)).select(*on, "verdict", "rec_first", "rec_last") for n, d in detectors.items()}
+    if not selectors:
+        return elect(stream_members(df, detectors, key, order, inputs), election or majority(), key, order)
+    traces = {}
+    for name, detector in detectors.items():
+        mine = selectors.get(name, lambda x: x)(df)
+        traces[name] = run_fold(mine, detector, key, order, (inputs or {}).get(name)).select(*on, "verdict", "rec_first", "rec_last")
     return elect(members_of(traces, on), election or majority(), key, order)
 
 

@@ -86,21 +86,21 @@ def md3_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
 THREE = {"x": "array(value, CAST(event_id % 7 AS DOUBLE), value * 0.1 + CAST(event_id % 3 AS DOUBLE))"}
 
 
-def _three(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    e = events(spark, sf_dir)
-    return {n: run_fold(e, d, KEY, ORDER, LABELS).select("user_id", "event_id", "ts", "verdict", "rec_first", "rec_last") for n, d in (("ddm", DDM), ("eddm", EDDM), ("stepd", STEPD))}
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    three = {"ddm": DDM, "eddm": EDDM, "stepd": STEPD}
+    return ensemble.stream_members(events(spark, sf_dir), three, KEY, ORDER, dict.fromkeys(three, LABELS))
 
 
 def elected(election):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ensemble.elect(ensemble.members_of(_three(spark, sf_dir), ["user_id", "ts", "event_id"]), election, KEY, ORDER).select("user_id", "event_id", "verdict")
+        return ensemble.elect(_three(spark, sf_dir), election, KEY, ORDER).select("user_id", "event_id", "verdict")
 
     return query
 
 
 def ensemble_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that each member recommends for training."""
-    members = ensemble.members_of(_three(spark, sf_dir), ["user_id", "ts", "event_id"])
+    members = _three(spark, sf_dir)
     rec = lambda name, end: F.try_element_at("retraining_recs", F.lit(name))[end].alias(f"{name}_{end}")
     return members.select("user_id", "event_id", *(rec(name, end) for name in ("ddm", "stepd") for end in ("first", "last")))
 
