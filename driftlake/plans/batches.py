@@ -54,7 +54,8 @@ def _hdddm(**kwargs):
 
 
 def cdbd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hdm.cdbd(orders(spark, sf_dir), "year", "o_totalprice", order=["o_orderkey"]).select("batch", "total", "since", "distance", "epsilon", "threshold", "verdict")
+    found = hdm.cdbd(orders(spark, sf_dir), "year", "o_totalprice", order=["o_orderkey"])
+    return found.select("batch", "total", "since", *(F.round(c, 9).alias(c) for c in ("distance", "epsilon", "threshold")), "verdict")
 
 
 def hdm_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,33 +253,59 @@ def _bins(source: str) -> str:
 
 
 _HALF = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * ln({a} * 2 / ({a} + {b})) ELSE 0 END"
-_DISTANCES = {"H": "sqrt(sum(pow(sqrt(t) - sqrt(r), 2)))", "KL": f"sqrt(greatest(0, sum(({_HALF('r', 't')} + {_HALF('t', 'r')}) / 2)))", "intersection": "1 - sum(least(r, t))", "variation": "sum(abs(r - t)) / 2"}
+_DISTANCES = {
+    "H": lambda r, t: f"sqrt(sum(pow(sqrt({t}) - sqrt({r}), 2)))",
+    "KL": lambda r, t: f"sqrt(greatest(0, sum(({_HALF(r, t)} + {_HALF(t, r)}) / 2)))",
+    "intersection": lambda r, t: f"1 - sum(least({r}, {t}))",
+    "variation": lambda r, t: f"sum(abs({r} - {t})) / 2",
+}
 
 
 def _pairs_sql(kind: str) -> str:
-    return f"WITH {_bins(_LINES)} d AS (SELECT start, batch, f, {_DISTANCES[kind]} AS distance FROM h GROUP BY start, batch, f) SELECT start, batch, CAST(f AS BIGINT) AS f, round(distance, 9) AS distance FROM d"
+    return f"WITH {_bins(_LINES)} d AS (SELECT start, batch, f, {_DISTANCES[kind]("r", "t")} AS distance FROM h GROUP BY start, batch, f) SELECT start, batch, CAST(f AS BIGINT) AS f, round(distance, 9) AS distance FROM d"
+
 
+def _drawn_sql(rows: str, kind: str, refs: int, subsets: int = 5) -> str:
+    """e0: for every start s0 the bootstrapped first epsilon, of refs batches as reference, from distances between subsets drawn by hashes of the key.
 
-def _drawn_sql(subsets: int = 5) -> str:
-    """e0: for every start the bootstrapped epsilon of two batches as reference, from Hellinger distances between subsets drawn by hashes of the features."""
-    key = " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in FEATURES)
+    rows: SQL of (b, key, vs). A draw also depends on total0, the distances so far: one for each batch after the first and, where the first batch of an epoch is halved
+    (refs = 1), one for each epoch, of which there may have been any number up to that of the batches.
+    """
     limits, p, total = [], math.exp(1 / subsets - 1), 0.0
     for i in range(12):
         total += p
         limits.append(total)
         p *= (1 - 1 / subsets) / (i + 1)
-    u = lambda s: f"CAST(('0x' || substr(md5(CAST(start + 2 - b0 AS VARCHAR) || ':{s}:' || {key}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    u = lambda s: f"CAST(('0x' || substr(md5(CAST(total AS VARCHAR) || ':{s}:' || key), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
     times = lambda s: "+".join(f"(u{s} >= {x!r}::DOUBLE)::INT" for x in limits)
     of = lambda name: ", ".join(name(s) for s in range(subsets))
     pairs = [(i, j) for i in range(subsets) for j in range(i + 1, subsets)]
     gaps = " + ".join(f"abs(d{a} - d{b})" for a in range(len(pairs)) for b in range(a + 1, len(pairs)))
+    share = lambda s: f"(c{s}::DOUBLE / n{s})"
+    distances = ", ".join(f"{_DISTANCES[kind](share(i), share(j))} AS d{a}" for a, (i, j) in enumerate(pairs))
+    epochs = "unnest(range(1, start - b0 + 2))" if refs == 1 else "0"
     return f"""
-    dw AS (SELECT start, unnest([0, 1, 2]) AS f, unnest([l_quantity, l_extendedprice, l_discount]) AS v, {of(lambda s: f"{times(s)} AS c{s}")} FROM (
-      SELECT start, l_quantity, l_extendedprice, l_discount, {of(lambda s: f"{u(s)} AS u{s}")} FROM lineitem JOIN (SELECT b AS start, min(b) OVER () AS b0 FROM y) ON year(l_shipdate) IN (start, start + 1))),
-    db AS (SELECT dw.start, dw.f, least(CAST(floor((v - lo) / (hi - lo) * k) AS BIGINT), k - 1) AS bin, {of(lambda s: f"sum(c{s}) AS c{s}")} FROM dw JOIN ed ON ed.start = dw.start AND ed.batch = dw.start + 2 AND ed.f = dw.f GROUP BY 1, 2, 3),
-    dn AS (SELECT start, f, {of(lambda s: f"sum(c{s}) AS n{s}")} FROM db GROUP BY start, f),
-    df AS (SELECT start, f, {", ".join(f"sqrt(sum(pow(sqrt(c{j}::DOUBLE / n{j}) - sqrt(c{i}::DOUBLE / n{i}), 2))) AS d{a}" for a, (i, j) in enumerate(pairs))} FROM db JOIN dn USING (start, f) GROUP BY start, f),
-    e0 AS (SELECT start AS s0, ({gaps}) / {subsets} AS e0 FROM (SELECT start, {", ".join(f"sum(d{a}) AS d{a}" for a in range(len(pairs)))} FROM df GROUP BY start)),"""
+    sr AS ({rows}),
+    ss AS (SELECT start, b0, start + {refs} - b0 + {epochs} AS total FROM (SELECT b AS start, min(b) OVER () AS b0 FROM y)),
+    du AS (SELECT start, total, vs, {of(lambda s: f"{u(s)} AS u{s}")} FROM sr JOIN ss ON b BETWEEN start AND start + {refs - 1}),
+    dw AS (SELECT start, total, unnest(range(len(vs))) AS f, unnest(vs) AS v, {of(lambda s: f"{times(s)} AS c{s}")} FROM du),
+    db AS (SELECT dw.start, total, dw.f, least(CAST(floor((v - lo) / (hi - lo) * k) AS BIGINT), k - 1) AS bin, {of(lambda s: f"sum(c{s}) AS c{s}")}
+      FROM dw JOIN ed ON ed.start = dw.start AND ed.batch = dw.start + {refs} AND ed.f = dw.f GROUP BY 1, 2, 3, 4),
+    dn AS (SELECT start, total, f, {of(lambda s: f"sum(c{s}) AS n{s}")} FROM db GROUP BY start, total, f),
+    df AS (SELECT start, total, f, {distances} FROM db JOIN dn USING (start, total, f) GROUP BY start, total, f),
+    e0 AS (SELECT start AS s0, total AS total0, ({gaps}) / {subsets} AS e0
+      FROM (SELECT start, total, {", ".join(f"sum(d{a}) AS d{a}" for a in range(len(pairs)))} FROM df GROUP BY start, total)),"""
+
+
+def _halves_sql(kind: str, order: str) -> str:
+    """hd: the distances hfs between both halves of every batch hb, in that order of the rows sr."""
+    return f"""
+    hr AS (SELECT b, vs, row_number() OVER (PARTITION BY b ORDER BY {order}) > count(*) OVER (PARTITION BY b) // 2 AS test FROM sr),
+    hl AS (SELECT b, test, unnest(range(len(vs))) AS f, unnest(vs) AS v FROM hr),
+    he AS (SELECT b, f, min(v) AS lo, max(v) AS hi, sum((NOT test)::INT) AS rn, sum(test::INT) AS tn, CAST(floor(sqrt(sum((NOT test)::INT))) AS BIGINT) AS k FROM hl GROUP BY b, f),
+    hs AS (SELECT hl.b, hl.f, least(CAST(floor((v - lo) / (hi - lo) * k) AS BIGINT), k - 1) AS bin, sum((NOT test)::INT) / rn::DOUBLE AS r, sum(test::INT) / tn::DOUBLE AS t
+      FROM hl JOIN he ON he.b = hl.b AND he.f = hl.f GROUP BY hl.b, hl.f, bin, rn, tn),
+    hd AS (SELECT b AS hb, list(distance ORDER BY f) AS hfs FROM (SELECT b, f, {_DISTANCES[kind]("r", "t")} AS distance FROM hs GROUP BY b, f) GROUP BY b),"""
 
 
 def _student_sql(df: str) -> str:
@@ -288,24 +315,41 @@ def _student_sql(df: str) -> str:
     return "(" + " + ".join(f"{v!r}::DOUBLE / pow({df}, {i})" for i, v in enumerate(terms)) + ")"
 
 
-def _hdm_sql(source: str, kind: str, names: list[str], significance: float | None, out: str) -> str:
-    """Batches from the third of an epoch on are tested by mean and deviation, with a number for significance; without, from the second on by Student's distribution and a bootstrap."""
-    n = len(names)
-    boot = significance is None
+def _hdm_sql(source: str, kind: str, names: list[str], significance: float | None, out: str, rows: str = "", order: str = "") -> str:
+    """Batches from the third of an epoch on are tested by mean and deviation, with a number for significance.
+
+    Without, they are tested from the second distance on by Student's distribution and a bootstrap from rows (b, key, vs). With an order of these, the first batch of every epoch is
+    halved and gives a first distance.
+    """
+    n, boot, halved = len(names), significance is None, bool(order)
+    mean = lambda fs: f"({' + '.join(f'{fs}[{i}]' for i in range(1, n + 1))}) / {n}"
+    on, epoch = "g.verdict IS NULL", 1 if halved else 0
     gap = "abs(distance - prev)"
-    eps = f"CASE WHEN since = 2 THEN [e0, {gap}] WHEN since = 3 THEN [eps0[-1], {gap}] WHEN since > 3 THEN list_append(eps0, {gap}) ELSE eps0 END" if boot else f"CASE WHEN since >= 2 THEN list_append(eps0, {gap}) ELSE eps0 END"
-    es = "CASE WHEN since = 2 THEN e0 WHEN since = 3 THEN eps[-2] WHEN since > 3 THEN es0 + eps[-2] ELSE es0 END" if boot else "es0 + CASE WHEN since >= 3 THEN eps[-2] ELSE 0 END"
-    scale = "(CASE WHEN since = 2 THEN 1 ELSE total - lam - 1 END)" if boot else "(total - lam - 1)"
+    eps = f"CASE WHEN since >= 2 THEN list_append(eps0, {gap}) ELSE eps0 END"
+    es = "es0 + CASE WHEN since >= 3 THEN eps[-2] ELSE 0 END"
+    scale = "(total - lam - 1)"
+    if boot:
+        eps = f"CASE WHEN since = 2 THEN [e0, {gap}] WHEN since = 3 THEN [eps0[-1], {gap}] WHEN since > 3 THEN list_append(eps0, {gap}) ELSE eps0 END"
+        es = "CASE WHEN since = 2 THEN e0 WHEN since = 3 THEN eps[-2] WHEN since > 3 THEN es0 + eps[-2] ELSE es0 END"
+        scale = "(CASE WHEN since = 2 THEN 1 ELSE total - lam - 1 END)"
     sd = f"sqrt(list_sum(list_transform(eps[:-2], lambda e: pow(e - es / {scale}, 2))) / {scale})"
-    threshold = f"CASE WHEN since >= 2 THEN es / {scale} + {_student_sql('(rn + tn - 2)')} * {sd} / sqrt({scale}) END" if boot else f"CASE WHEN since >= 3 THEN es / {scale} + {significance}::DOUBLE * {sd} END"
+    threshold = f"CASE WHEN since >= 3 THEN es / {scale} + {significance}::DOUBLE * {sd} END"
+    if boot:
+        threshold = f"CASE WHEN since >= 2 THEN es / {scale} + {_student_sql('(rn + tn - 2)')} * {sd} / sqrt({scale}) END"
     named = ", ".join(f"'{c}'" for c in names)
     feature = f"CASE WHEN verdict IS NOT NULL THEN [{named}][list_position(gap, list_max(gap))] END" if n > 1 else "NULL"
+    tables = _drawn_sql(rows, kind, 1 if halved else 2) if boot else ""
+    tables += _halves_sql(kind, order) if halved else ""
+    first = f"{mean('hfs')} AS prev, hfs AS prev_f" if halved else f"0.0::DOUBLE AS prev, CAST([{', '.join('0' * n)}] AS DOUBLE[]) AS prev_f"
+    before = f"CASE WHEN {on} THEN g.prev ELSE {mean('hfs')} END AS prev, CASE WHEN {on} THEN g.prev_f ELSE hfs END AS prev_f" if halved else "g.prev, g.prev_f"
+    total = f"g.total + CASE WHEN {on} THEN 1 ELSE {epoch + 1} END"
     return f"""
-        WITH RECURSIVE {_bins(source)} {_drawn_sql() if boot else ""} d AS (SELECT start, batch, f, max(rn) AS rn, max(tn) AS tn, {_DISTANCES[kind]} AS distance FROM h GROUP BY start, batch, f),
+        WITH RECURSIVE {_bins(source)} {tables} d AS (SELECT start, batch, f, max(rn) AS rn, max(tn) AS tn, {_DISTANCES[kind]("r", "t")} AS distance FROM h GROUP BY start, batch, f),
         fe AS (SELECT start, batch, max(rn) AS rn, max(tn) AS tn, list(distance ORDER BY f) AS fs FROM d GROUP BY start, batch),
         z AS (SELECT min(b) AS b0, max(b) AS b1 FROM y),
-        g AS (SELECT b0 AS batch, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS epsilon, CAST(NULL AS DOUBLE) AS threshold,
-            CAST(NULL AS VARCHAR) AS verdict, b0 AS start, CAST(0 AS BIGINT) AS lam, 0.0::DOUBLE AS prev, CAST([{", ".join("0" * n)}] AS DOUBLE[]) AS prev_f, CAST([] AS DOUBLE[]) AS eps, 0.0::DOUBLE AS es, CAST(NULL AS VARCHAR) AS feature FROM z
+        g AS (SELECT b0 AS batch, CAST({epoch} AS BIGINT) AS total, CAST({epoch} AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS epsilon, CAST(NULL AS DOUBLE) AS threshold,
+            CAST(NULL AS VARCHAR) AS verdict, b0 AS start, CAST(0 AS BIGINT) AS lam, {first}, CAST([] AS DOUBLE[]) AS eps, 0.0::DOUBLE AS es, CAST(NULL AS VARCHAR) AS feature
+          FROM z {"JOIN hd ON hb = b0" if halved else ""}
           UNION ALL
           SELECT batch, total, since, distance, epsilon, threshold, verdict, start, CASE WHEN verdict IS NULL THEN lam ELSE total END, CASE WHEN verdict IS NULL THEN distance ELSE prev END,
             CASE WHEN verdict IS NULL THEN fs ELSE prev_f END, eps, es, {feature} FROM (
@@ -313,12 +357,21 @@ def _hdm_sql(source: str, kind: str, names: list[str], significance: float | Non
           SELECT *, {threshold} AS threshold FROM (
           SELECT *, {es} AS es FROM (
           SELECT *, {eps} AS eps, CASE WHEN since >= 2 THEN {gap} END AS epsilon FROM (
-          SELECT fe.batch, g.total + 1 AS total, CASE WHEN g.verdict IS NULL THEN g.since ELSE 0 END + 1 AS since, ({" + ".join(f"fs[{i}]" for i in range(1, n + 1))}) / {n} AS distance, fs, fe.start, fe.rn, fe.tn, g.lam, g.prev, g.prev_f,
-            CASE WHEN g.verdict IS NULL THEN g.eps ELSE [] END AS eps0, CASE WHEN g.verdict IS NULL THEN g.es ELSE 0 END AS es0 {", e0" if boot else ""}
-          FROM g JOIN fe ON fe.batch = g.batch + 1 AND fe.start = CASE WHEN g.verdict IS NULL THEN g.start ELSE g.batch END {"LEFT JOIN e0 ON s0 = fe.start" if boot else ""}))))))
+          SELECT fe.batch, {total} AS total, CASE WHEN {on} THEN g.since ELSE {epoch} END + 1 AS since, {mean("fs")} AS distance, fs, fe.start, fe.rn, fe.tn, g.lam, {before},
+            CASE WHEN {on} THEN g.eps ELSE [] END AS eps0, CASE WHEN {on} THEN g.es ELSE 0 END AS es0 {", e0" if boot else ""}
+          FROM g JOIN fe ON fe.batch = g.batch + 1 AND fe.start = CASE WHEN {on} THEN g.start ELSE g.batch END {"JOIN hd ON hb = fe.start" if halved else ""}
+            {f"LEFT JOIN e0 ON s0 = fe.start AND (NOT {halved} OR total0 = {total})" if boot else ""}))))))
         SELECT {out} FROM g"""
 
 
+_KEY_SQL = lambda columns: " || ':' || ".join(f"CAST({c} AS VARCHAR)" for c in columns)
+
+
+def _rows_sql(table: str, day: str, features: list[str], key: list[str]) -> str:
+    """(b, key, vs) and all columns of a table."""
+    return f"SELECT *, year({day}) AS b, {_KEY_SQL(key)} AS key, [{', '.join(f'{c}::DOUBLE' for c in features)}] AS vs FROM {table}"
+
+
 _ROUNDED = "round(distance, 9) AS distance, round(epsilon, 9) AS epsilon, round(threshold, 9) AS threshold, verdict"
 _HDDDM_OUT = f"batch, total, since, {_ROUNDED}, start AS reference_from, feature AS drift_feature"
 _KDQ = f"""WITH RECURSIVE a AS (SELECT row_number() OVER () AS id, year(l_shipdate) AS y, [{", ".join(f"{c}::DOUBLE" for c in FEATURES)}] AS x FROM lineitem),
@@ -386,7 +439,9 @@ ORACLE_SQL = {
     "js_pairs": _pairs_sql("KL"),
     "intersection_pairs": _pairs_sql("intersection"),
     "hdddm_d3": _hdm_sql(_LINES, "H", FEATURES, 0.5, _HDDDM_OUT),
-    "hdddm_d2": _hdm_sql(_LINES, "H", FEATURES, None, _HDDDM_OUT),
+    "hdddm_d2": _hdm_sql(_LINES, "H", FEATURES, None, _HDDDM_OUT, _rows_sql("lineitem", "l_shipdate", FEATURES, FEATURES)),
+    "hdddm_d1": _hdm_sql(_LINES, "H", FEATURES, None, _HDDDM_OUT, _rows_sql("lineitem", "l_shipdate", FEATURES, ROW), ", ".join(ROW)),
+    "cdbd": _hdm_sql(_ORDERS, "KL", ["o_totalprice"], None, f"batch, total, since, {_ROUNDED}", _rows_sql("orders", "o_orderdate", ["o_totalprice"], ["o_orderkey"]), "o_orderkey"),
     "hdm_custom_divergence": _hdm_sql(_ORDERS, "variation", ["o_totalprice"], 0.05, f"batch, total, since, {_ROUNDED}"),
     "ensemble_batch_hdm": f"""
         SELECT batch, CASE WHEN a.verdict = 'drift' OR b.verdict = 'drift' THEN 'drift' END AS verdict FROM ({_hdm_sql(_LINES, "H", FEATURES, 0.5, "batch, verdict")}) a JOIN ({_hdm_sql(_LINES, "KL", FEATURES, 0.5, "batch, verdict")}) b USING (batch)""",
