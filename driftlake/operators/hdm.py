@@ -16,10 +16,13 @@ from driftlake.functions.density import DISTANCES
 from driftlake.functions.hashrng import uniform
 from driftlake.functions.stats import t_quantile
 from driftlake.operators.inject import with_index
+from driftlake.sources.tables import settled
 
 Divergence = str | Callable[[Column, Column], Column]
 #: Rows of (start, batch, feature) edges up to which they are broadcast (some 60 bytes each); beyond, they are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Batches that the first job of an epoch compares with the reference; each further job takes twice as many, until drift.
+AHEAD = 8
 RESULT = "batch long, total long, since long, distance double, epsilon double, threshold double, verdict string, reference_from long, feature_distances array<double>, feature_epsilons array<double>, drift_feature string"
 
 
@@ -82,9 +85,13 @@ def distance_table(df: DataFrame, batch: str, features: Sequence[str], divergenc
     """
     batches = batches or batch_numbers(df, batch)
     starts = batches[:-1] if starts is None else starts
-    vals = values(df, batch, features)
+    return _distances(values(df, batch, features), len(features), divergence, starts, batches)
+
+
+def _distances(vals: DataFrame, features: int, divergence: Divergence, starts: Sequence[int], batches: Sequence[int]) -> DataFrame:
+    """distance_table() of counted values."""
     cuts = edges(vals, batches, starts)
-    rows = len(starts) * len(batches) * len(features)
+    rows = len(starts) * len(batches) * features
     e = cuts.select(F.col("start").alias("s_"), F.col("batch").alias("b_"), F.col("f").alias("f_"), "lo", "hi", "ref_n", "test_n", "bins")
     met = _spread(vals, batches, starts).join(_small(e, rows), (F.col("start") == F.col("s_")) & (F.col("batch") == F.col("b_")) & (F.col("f") == F.col("f_")))
     test = F.col("b") == F.col("batch")
@@ -109,12 +116,12 @@ def poisson_counts(key: Sequence[Column], subsets: int, mean: float, seed: int)
     return F.array(*(one(s) for s in range(subsets)))
 
 
-def first_epsilon(df: DataFrame, batch: str, features: Sequence[str], start: int, at: int, divergence: Divergence, subsets: int, seed: int, key: Sequence[str]) -> float:
+def first_epsilon(df: DataFrame, vals: DataFrame, batch: str, features: Sequence[str], start: int, at: int, divergence: Divergence, subsets: int, seed: int, key: Sequence[str]) -> float:
     """Bootstrapped epsilon before a second distance exists: subsets of the reference (with replacement, (1 - 1 / subsets) of its size on average), all
-    distances between them (features summed), the sum of all differences between these, over the number of subsets."""
-    here = df.where((F.col(batch) >= start) & (F.col(batch) <= at))
-    cuts = edges(values(here, batch, features), [*range(start, at + 1)], [start]).where(F.col("batch") == at).select(F.col("f").alias("f_"), "lo", "hi", "bins")
-    ref = here.where(F.col(batch) < at)
+    distances between them (features summed), the sum of all differences between these, over the number of subsets. vals: values() of df."""
+    here = vals.where((F.col("b") >= start) & (F.col("b") <= at))
+    cuts = edges(here, [at], [start]).select(F.col("f").alias("f_"), "lo", "hi", "bins")
+    ref = df.where((F.col(batch) >= start) & (F.col(batch) < at))
     cells = F.array(*(F.col(f).cast("double") for f in features))
     drawn = ref.select(poisson_counts([F.col(k) for k in key], subsets, 1 - 1 / subsets, seed).alias("draws"), F.posexplode(cells).alias("f", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     binned = drawn.join(F.broadcast(cuts), F.col("f") == F.col("f_"))  # one row per feature
@@ -134,7 +141,8 @@ def hdm(df: DataFrame, batch: str, features: Sequence[str], divergence: Divergen
 
     detect_batch: the number of the batch of an epoch from which drift can be found: 1 (the reference is halved by `order` to get a first distance), 2 or 3. statistic: "tstat" or
     "stdev". After drift the drifted batch is the reference, otherwise the batch joins it. drift_feature: the feature whose distance grew most, with several features. The driver
-    holds a few numbers per batch; each epoch is one job over the batches from its start.
+    holds a few numbers per batch. Distinct values are counted once and written; an epoch is compared in jobs of 8, 16, 32... batches until drift, so that
+    little is computed that its end makes void.
     """
     if detect_batch not in (1, 2, 3):
         raise ValueError("detect_batch must be 1, 2 or 3")
@@ -154,9 +162,13 @@ def hdm(df: DataFrame, batch: str, features: Sequence[str], divergence: Divergen
     prev, prev_f = 0.0, [0.0] * len(features)
     out = []
 
-    def table(part: DataFrame, start: int, upto: int) -> dict[int, tuple[list[float], int, int]]:
+    vals = settled(values(coded, "b_", features)) if len(names) > 1 else values(coded, "b_", features)
+
+    def table(counted: DataFrame, start: int, after: int, upto: int) -> dict[int, tuple[list[float], int, int]]:
+        """By batch, of those after `after`: distances by feature, rows of the reference, rows of the batch."""
         found: dict[int, dict[int, tuple]] = {}
-        for r in distance_table(part, "b_", features, divergence, [start], [*range(start, upto + 1)]).collect():  # batches times features
+        here = counted.where((F.col("b") >= start) & (F.col("b") <= upto))
+        for r in _distances(here, len(features), divergence, [start], [*range(after + 1, upto + 1)]).collect():  # batches times features
             found.setdefault(r["batch"], {})[r["f"]] = (r["distance"], r["ref_n"], r["test_n"])
         return {t: ([x.get(i, (0.0, 0, 0))[0] for i in range(len(features))], max(v[1] for v in x.values()), max(v[2] for v in x.values())) for t, x in found.items()}
 
@@ -180,7 +192,7 @@ def hdm(df: DataFrame, batch: str, features: Sequence[str], divergence: Divergen
         epsilon = beta = None
         if since >= 2:
             if since == 2 and detect_batch != 3:
-                eps.append(first_epsilon(coded, "b_", features, start, at, divergence, subsets, seed + total, key))
+                eps.append(first_epsilon(coded, vals, "b_", features, start, at, divergence, subsets, seed + total, key))
             epsilon = abs(distance - prev)
             eps.append(epsilon)
             if detect_batch != 3 or since >= 3:
@@ -202,18 +214,21 @@ def hdm(df: DataFrame, batch: str, features: Sequence[str], divergence: Divergen
             rows = with_index(coded.where(F.col("b_") == start), order, "at_")
             half = rows.count() // 2
             halves = rows.withColumn("b_", (F.col("at_") >= half).cast("long"))
-            for d, ref_n, test_n in table(halves, 0, 1).values():
+            for d, ref_n, test_n in table(values(halves, "b_", features), 0, 0, 1).values():
                 update(d, ref_n, test_n, start, start, None)
 
     start, drifted = 0, False
     begin(0)
     out.append((names[0], total, since, None, None, None, None, names[0], None, None, None))
-    known = table(coded, 0, len(names) - 1) if len(names) > 1 else {}
+    known, upto, ahead = {}, 0, AHEAD
     for t in range(1, len(names)):
         if drifted:
             start = t - 1
             begin(start)
-            known = table(coded, start, len(names) - 1)
+            known, upto, ahead = {}, start, AHEAD
+        if t > upto:
+            known = table(vals, start, upto, min(upto + ahead, len(names) - 1))
+            upto, ahead = min(upto + ahead, len(names) - 1), 2 * ahead
         drifted = t in known and update(*known[t], start, t, t)
     return spark.createDataFrame(out, RESULT)
 

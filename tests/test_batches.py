@@ -54,6 +54,17 @@ def test_distances_against_numpy(spark):
                 assert abs(found[s, t, f] - want) < 1e-9
 
 
+def test_hdm_compares_ahead_as_far_as_it_likes(spark, monkeypatch):
+    """Results do not depend on how many batches a job looks ahead."""
+    rng = np.random.default_rng(5)
+    df, cols = batches(spark, *(rng.normal(3 * (i >= 4) + 6 * (i >= 7), 1, (60, 2)).round(2) for i in range(11)))
+    run = lambda: [tuple(r) for r in hdm.hdddm(df, "batch", cols, detect_batch=3, statistic="stdev", significance=0.5).collect()]
+    want = run()
+    assert [r[6] for r in want].count("drift") >= 2
+    monkeypatch.setattr(hdm, "AHEAD", 1)
+    assert str(run()) == str(want)
+
+
 def test_hdm_edges(spark):
     empty = spark.createDataFrame([], "batch long, row_idx long, f0 double")
     assert hdm.hdddm(empty, "batch", ["f0"], detect_batch=3).count() == 0
