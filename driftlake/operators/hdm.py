@@ -112,8 +112,8 @@ def poisson_counts(key: Sequence[Column], subsets: int, mean: float, seed: int)
         total += p
         limits.append(total)
         p *= mean / (i + 1)
-    one = lambda s: sum(((uniform(seed, F.lit(s), *key) >= x).cast("int") for x in limits), F.lit(0))
-    return F.array(*(one(s) for s in range(subsets)))
+    drawn = F.array(*(uniform(seed, F.lit(s), *key) for s in range(subsets)))
+    return F.transform(drawn, lambda u: sum(((u >= x).cast("int") for x in limits), F.lit(0)))
 
 
 def first_epsilon(df: DataFrame, vals: DataFrame, batch: str, features: Sequence[str], start: int, at: int, divergence: Divergence, subsets: int, seed: int, key: Sequence[str]) -> float:
