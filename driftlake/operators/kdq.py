@@ -92,6 +92,18 @@ class KdqTree:
             sums[self.parent[i]] += sums[i]
         return sums
 
+    def reset(self, value: int = 0) -> KdqTree:
+        """The same cells with that count in every node."""
+        out = KdqTree.of(self.state())
+        out.count = [value] * len(out.axis)
+        return out
+
+    def counting(self, leaf_counts: Sequence[float]) -> KdqTree:
+        """The same cells with the points of another sample, by leaf, added to the counts of the nodes above them."""
+        out = KdqTree.of(self.state())
+        out.count = [int(a + b) for a, b in zip(self.count, self.node_counts(leaf_counts), strict=True)]
+        return out
+
     def labels(self, features: Sequence[str] | None = None) -> list[str]:
         """kdqTree for the root, else the half-space of the parent's split."""
         out = ["kdqTree"]

@@ -85,6 +85,18 @@ def kdq_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdq.node_table(spark, tree, FEATURES, counts).withColumn("kss", F.round("kss", 9))
 
 
+def kdq_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the first year, emptied, then filled with the second and with the third."""
+    t, first, tree = _first_year_tree(spark, sf_dir)
+    tree = tree.reset()
+    for year in (first + 1, first + 2):
+        counts = [0] * tree.leaves
+        for r in kdq.fill(t.where(F.col("year") == year), tree, FEATURES).collect():  # one row per cell
+            counts[r["leaf"]] = r["n"]
+        tree = tree.counting(counts)
+    return kdq.node_table(spark, tree, FEATURES).select("node_id", "cell_count")
+
+
 def kdq_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, _, tree = _first_year_tree(spark, sf_dir)
     return kdq.fill(t, tree, FEATURES, ["year"])
@@ -215,6 +227,7 @@ QUERIES = {
     "cdbd": cdbd,
     "hdm_custom_divergence": hdm_custom,
     "kdq_nodes": kdq_nodes,
+    "kdq_reset": kdq_reset,
     "kdq_fill": kdq_fill,
     "kdq_batch": kdq_batch,
     "kdq_kl": kdq_kl,
@@ -451,6 +464,8 @@ ORACLE_SQL = {
           q.depth, CASE WHEN q.split THEN q.depth % 3 END AS axis, CASE WHEN q.split THEN q.mid END AS midpoint, NOT q.split AS is_leaf, q.leaf, q.n AS cell_count, m - q.n AS count_diff,
           round({_TWO_CELLS("q.n", "(n0 - q.n)")} * ln({_TWO_CELLS("q.n", "(n0 - q.n)")} / {_TWO_CELLS("m", "(m0 - m)")}) + {_TWO_CELLS("(n0 - q.n)", "q.n")} * ln({_TWO_CELLS("(n0 - q.n)", "q.n")} / {_TWO_CELLS("(m0 - m)", "m")}), 9) AS kss
         FROM q LEFT JOIN nd p ON q.path <> '' AND p.path = left(q.path, length(q.path) - 1)""",
+    "kdq_reset": f"""{_KDQ}, c AS (SELECT path, count(*) AS m FROM w, z WHERE y IN (y0 + 1, y0 + 2) GROUP BY path)
+        SELECT node_id, coalesce(m, 0) AS cell_count FROM lf LEFT JOIN c USING (path)""",
     "kdq_fill": f"{_KDQ} SELECT y AS year, leaf, count(*) AS n FROM w JOIN lf USING (path) WHERE NOT split GROUP BY y, leaf",
     "kdq_kl": f"""{_KDQ}, c AS (SELECT y, leaf, count(*) AS m FROM w JOIN lf USING (path) WHERE NOT split GROUP BY y, leaf),
         q AS (SELECT v.y, (n + 0.5::DOUBLE) / (sum(n) OVER (PARTITION BY v.y) + count(*) OVER (PARTITION BY v.y) / 2.0::DOUBLE) AS p, (coalesce(m, 0) + 0.5::DOUBLE) / (sum(coalesce(m, 0)) OVER (PARTITION BY v.y) + count(*) OVER (PARTITION BY v.y) / 2.0::DOUBLE) AS q
