@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlake.functions.hashrng import uniform_of
+from driftlake.operators import md3
 from driftlake.operators.change import Adwin
-from driftlake.operators.fold import Detector
-from driftlake.operators.md3 import scored_statistics
+from driftlake.operators.fold import Detector, run_fold
 
 LABELS = ("y_true", "y_pred")
 
@@ -222,7 +222,7 @@ class MarginDensity(Detector):
     inputs = ("kind", "inside", "right")
     extra = "margin_density double, waiting boolean, labelled long"
 
-    def __init__(self, md: float, md_std: float, acc: float, acc_std: float, length: int, sensitivity: float = 2, oracle_length: int | None = None, strict: bool = True, restate: Callable[[list], dict[str, float]] = scored_statistics, carry: Sequence[str] = ()):
+    def __init__(self, md: float, md_std: float, acc: float, acc_std: float, length: int, sensitivity: float = 2, oracle_length: int | None = None, strict: bool = True, restate: Callable[[list], dict[str, float]] = md3.scored_statistics, carry: Sequence[str] = ()):
         self.inputs, self.restate = (*MarginDensity.inputs, *carry), restate
         self.ref = {"md": float(md), "md_std": float(md_std), "acc": float(acc), "acc_std": float(acc_std), "len": int(length)}
         self.sensitivity, self.oracle_length, self.strict = sensitivity, oracle_length or length, strict
@@ -264,6 +264,41 @@ class MarginDensity(Detector):
         return s["md"], s["waiting"], len(s["asked"])
 
 
+def watch_margin(
+    df: DataFrame,
+    model: md3.Linear,
+    reference: dict[str, float],
+    features: Sequence[str],
+    label: str,
+    kind: str,
+    key: Sequence[str],
+    order: Sequence[str],
+    mode: str = "scaled",
+    k: int = 10,
+    **kwargs,
+) -> DataFrame:
+    """Margin density of a learnt model over the rows of each key, in order; reference: reference_statistics() of the rows it was learnt from.
+
+    kind: an expression that is sample or oracle. After an oracle round the statistics are those of models refitted on k folds of its rows. kwargs: as for MarginDensity.
+    The columns are key, order and what MarginDensity gives. Rows with a null feature or label are passed over.
+    """
+    scored = df.where(F.array_position(F.array(*(F.col(f).isNull() for f in features)), F.lit(True)) == 0)
+    inputs = {
+        "kind": kind,
+        "inside": md3.inside_margin(model, features, mode),
+        "right": (md3.predicted(model, features) == F.col(label).cast("int")).cast("int"),
+        "x": F.array(*(F.col(f).cast("double") for f in features)),
+        "y": F.col(label).cast("int"),
+    }
+    step = MarginDensity(
+        **reference,
+        restate=lambda rows: md3.refit_statistics(rows, lambda xs, ys: md3.scorer(md3.fit_local(xs, ys), mode), k),
+        carry=("x", "y"),
+        **kwargs,
+    )
+    return run_fold(scored, step, key, order, inputs)
+
+
 def four_rates_trace(df: DataFrame, key: str, order: list[str], y_true: Column, y_pred: Column) -> DataFrame:
     """The four rates of every row as windows, without resets; each cell of the table starts at 1."""
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

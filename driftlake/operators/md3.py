@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +44,55 @@ def predicted(model: Linear, features: Sequence[str]) -> Column:
     return (decision(model, features) > 0).cast("int")
 
 
-def inside_margin(model: Linear, features: Sequence[str], mode: str = "functional") -> Column:
-    """1 if a row lies in the margin. functional: |w . x + b| <= 1; scaled: |w . x + b / w[1]| <= 1, which needs two features."""
-    if mode == "functional":
-        value = decision(model, features)
-    else:
-        second = model.weights[1]
-        value = decision(model._replace(bias=0.0), features) + (model.bias / second if second else 0.0)
-    return (F.abs(value) <= 1).cast("int")
+#: functional, scaled or a function of the model and the names of the features.
+Margin = str | Callable[[Linear, Sequence[str]], Column]
 
 
-def reference_statistics(df: DataFrame, features: Sequence[str], label: str, k: int = 10, seed: int = 42, fit: Callable[[DataFrame], Linear] | None = None, mode: str = "functional", id_col: str | None = None) -> dict[str, float]:
+def _shown(model: Linear, mode: str) -> Linear:
+    """The linear function whose values from -1 to 1 are the margin."""
+    if mode == "functional":
+        return model
+    if mode != "scaled":
+        raise ValueError(f"no margin of the name {mode}")
+    if len(model.weights) < 2:
+        raise ValueError("a scaled margin needs two features")
+    second = model.weights[1]
+    return model._replace(bias=model.bias / second if second else 0.0)
+
+
+def inside_margin(model: Linear, features: Sequence[str], mode: Margin = "scaled") -> Column:
+    """1 if a row lies in the margin. scaled: |w . x + b / w[1]| <= 1, which needs two features; functional: |w . x + b| <= 1."""
+    if callable(mode):
+        return mode(model, features).cast("int")
+    return (F.abs(decision(_shown(model, mode), features)) <= 1).cast("int")
+
+
+def fit_local(xs: Sequence[Sequence[float]], ys: Sequence[int], reg: float = 0.01, steps: int = 30) -> Linear:
+    """A linear support vector machine (squared hinge, Newton steps) of a few rows, such as those of an oracle round. One class only: that class."""
+    x, t = np.asarray(xs, float), np.where(np.asarray(ys) > 0, 1.0, -1.0)
+    if len(set(t)) < 2:
+        return Linear((0.0,) * x.shape[1], float(t[0]))
+    x = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.diag([reg] * (x.shape[1] - 1) + [1e-9])
+    v = np.zeros(x.shape[1])
+    for _ in range(steps):
+        near = t * (x @ v) < 1
+        slope = ridge @ v - 2 / len(x) * x[near].T @ (t[near] - x[near] @ v)
+        step = np.linalg.solve(ridge + 2 / len(x) * x[near].T @ x[near], slope)
+        v = v - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return Linear(tuple(v[:-1].tolist()), float(v[-1]))
+
+
+def scorer(model: Linear, mode: str = "scaled") -> Callable[[Sequence[float]], tuple[int, int]]:
+    """x to (inside the margin, label), as inside_margin() and predicted() say for rows."""
+    value = lambda m, x: sum(w * v for w, v in zip(m.weights, x, strict=True)) + m.bias
+    shown = _shown(model, mode)
+    return lambda x: (int(abs(value(shown, x)) <= 1), int(value(model, x) > 0))
+
+
+def reference_statistics(df: DataFrame, features: Sequence[str], label: str, k: int = 10, seed: int = 42, fit: Callable[[DataFrame], Linear] | None = None, mode: Margin = "scaled", id_col: str | None = None) -> dict[str, float]:
     """length, md, md_std, acc, acc_std over k folds (population deviations): share inside the margin and accuracy on each fold of a model learnt from the others.
 
     Folds are k equal parts of a hash order of the rows (of id_col, if given), numbered in parallel. The rows are written once and read k times.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlake.operators import change, concept, ensemble, kdq, pca_cd
+from driftlake.operators import change, concept, ensemble, kdq, md3, pca_cd
 from driftlake.operators.fold import Detector, run_fold
 
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
@@ -83,6 +83,42 @@ def md3_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "event_id", "verdict", "total", "since", "margin_density", "waiting", "labelled")
 
 
+#: Features and label that a classifier learns from the first half of the time; in the last quarter the labels are turned round.
+MD3_FEATURES, MD3_LABEL = ["f0", "f1"], "y"
+MD3_KIND = "IF(event_id % 3 = 0, 'oracle', 'sample')"
+
+
+def md3_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rows to learn from and the rows to watch."""
+    e = events(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = e.agg(F.min("at"), F.max("at")).first()
+    if low is None:
+        low = high = 0
+    rows = e.select(*KEY, *ORDER, "at", F.expr("value / 50").alias("f0"), F.expr("(event_id % 7) / 7D").alias("f1"), F.expr(Y_TRUE).alias("t"))
+    late = F.col("at") >= high - (high - low) // 4
+    labelled = rows.withColumn(MD3_LABEL, F.when(late, 1 - F.col("t")).otherwise(F.col("t"))).where(F.col("f0").isNotNull())
+    first = F.col("at") < low + (high - low) // 2
+    return labelled.where(first).drop("at", "t"), labelled.where(~first).drop("at", "t")
+
+
+def md3_fit(df: DataFrame) -> md3.Linear:
+    return md3.fit_linear(df, MD3_FEATURES, MD3_LABEL, regParam=0.01, maxIter=5)
+
+
+def md3_watched(later: DataFrame, model: md3.Linear, reference: dict[str, float]) -> DataFrame:
+    """Every user's rows, of which a density forgets all but some 20; oracle rounds of 5 rows."""
+    reference = {**reference, "length": 20}
+    found = concept.watch_margin(later, model, reference, MD3_FEATURES, MD3_LABEL, MD3_KIND, KEY, ORDER, "functional", oracle_length=5, strict=False)
+    return found.select("user_id", "event_id", "verdict", "total", "since", F.round("margin_density", 6).alias("margin_density"), "waiting", "labelled")
+
+
+def md3_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin density end to end: a model learnt in Spark, its reference over 10 folds, the later events watched, models refitted after oracle rounds."""
+    known, later = md3_tables(spark, sf_dir)
+    reference = md3.reference_statistics(known, MD3_FEATURES, MD3_LABEL, fit=md3_fit, mode="functional", id_col="event_id")
+    return md3_watched(later, md3_fit(known), reference)
+
+
 THREE = {"x": "array(value, CAST(event_id % 7 AS DOUBLE), value * 0.1 + CAST(event_id % 3 AS DOUBLE))"}
 
 
@@ -134,6 +170,7 @@ QUERIES = {
     "lfr_verdict": folded(LFR, LABELS, "r_tpr", "r_tnr", "r_ppv", "r_npv"),
     "md3_margin_density": md3_margin_density,
     "md3_oracle": md3_oracle,
+    "md3_learned": md3_learned,
     "kdq_stream": folded(KDQ_STREAM, THREE, "distance", "critical"),
     "pca_cd_kl": folded(pca_cd.PcaCd(20, delta=0.01), THREE, "change_score"),
     "pca_cd_intersection": folded(pca_cd.PcaCd(20, delta=0.01, divergence_metric="intersection"), THREE, "change_score"),

@@ -8,7 +8,7 @@ from driftlake.functions import density, hashrng
 from driftlake.operators import change, concept, ensemble, hdm, inject, kdq, md3, nn
 from driftlake.operators.fold import run_fold
 from driftlake.plans import batches as batch_queries
-from driftlake.plans import schema
+from driftlake.plans import schema, streams
 from driftlake.sources import datasets
 
 
@@ -243,6 +243,56 @@ def test_md3(spark):
         md3.reference_statistics(rows, ["var1", "var2"], "y", k=6)
 
 
+def test_md3_margins(spark):
+    rows = spark.createDataFrame([(0.0, 1.0), (3.0, 1.0), (0.2, 0.2)], "a double, b double")
+    model = md3.Linear((1.0, 2.0), -6.0)
+    for mode in ("scaled", "functional"):
+        got = [(r.m, r.p) for r in rows.select(md3.inside_margin(model, ["a", "b"], mode).alias("m"), md3.predicted(model, ["a", "b"]).alias("p")).collect()]
+        assert got == [md3.scorer(model, mode)(tuple(r)) for r in rows.collect()]
+    own = md3.inside_margin(model, ["a", "b"], lambda m, f: F.col(f[0]) > 1)
+    assert [r[0] for r in rows.select(own).collect()] == [0, 1, 0]
+    with pytest.raises(ValueError):
+        md3.inside_margin(md3.Linear((1.0,), 0.0), ["a"])
+
+
+def test_fit_local():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (200, 2))
+    y = (x[:, 0] - 2 * x[:, 1] > 0.3).astype(int)
+    model = md3.fit_local(x, y)
+    assert np.mean([md3.scorer(model)(r)[1] == t for r, t in zip(x, y, strict=True)]) > 0.97
+    assert md3.fit_local([[1.0, 2.0]], [1]) == md3.Linear((0.0, 0.0), 1.0)
+
+
+def test_md3_watched_against_plain_replay(spark):
+    """The rows of the learnt query are those of the protocol run over plain lists, with a model learnt from the earlier rows."""
+    data = "/root/testdata/sf0.001"
+    known, later = streams.md3_tables(spark, data)
+    model, ref = streams.md3_fit(known), {"md": 0.3, "md_std": 0.02, "acc": 0.95, "acc_std": 0.02, "length": 500}
+    score = md3.scorer(model, "functional")
+    seen = [(score((r.f0, r.f1))[1] == r.y) for r in known.collect()]
+    assert sum(seen) > 0.9 * len(seen) and len(seen) + later.count() == spark.read.parquet(f"{data}/events.parquet").count()
+    refit = lambda rows: md3.refit_statistics(rows, lambda xs, ys: md3.scorer(md3.fit_local(xs, ys), "functional"), 10)
+    step = concept.MarginDensity(**{**ref, "length": 20}, oracle_length=5, strict=False, restate=refit, carry=("x", "y"))
+    states, want = {}, []
+    for r in sorted(later.collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
+        inside, label = score((r.f0, r.f1))
+        out = step.step(states.setdefault(r.user_id, step.start()), "oracle" if r.event_id % 3 == 0 else "sample", inside, int(label == r.y), [r.f0, r.f1], r.y)
+        want.append((r.user_id, r.event_id, out[0], out[1], out[2], out[6], out[7], out[5]))
+    got = sorted((r.user_id, r.event_id, r.verdict, r.total, r.since, r.waiting, r.labelled, r.margin_density) for r in streams.md3_watched(later, model, ref).collect())
+    assert [r[:-1] for r in got] == [r[:-1] for r in sorted(want)]
+    assert [r[-1] for r in got] == pytest.approx([r[-1] for r in sorted(want)], abs=1e-6)
+    assert any(r[2] == "drift" for r in got)
+
+
+def test_kdq_counts_are_reset_and_add_up():
+    tree = kdq.build_local(np.random.default_rng(2).random((300, 2)) * 9, 20, 2e-10)
+    empty = tree.reset()
+    assert set(empty.count) == {0} and empty.axis == tree.axis and tree.count[0] == 300 and set(tree.reset(7).count) == {7}
+    assert empty.counting(tree.leaf_counts()).count == tree.count
+    assert tree.counting(tree.leaf_counts()).count == [2 * c for c in tree.count]
+
+
 def test_datasets(spark, tmp_path):
     df = datasets.example_batches(spark, 200)
     assert df.count() == 3000 and set(df.columns) >= {"year", *"abcdefghij", "cat", "confidence", "drift"}
