@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
-from itertools import combinations
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -165,10 +164,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return slim.join(by_fp, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: longs of bits by which similarity is told, from shingles of some words, and blocks by which pairs are found, from pairs of words.
-WIDE, BLOCKS, BLOCK_BITS = 4, 20, 32
-LANES = WIDE + BLOCKS // 2
-BLOCK_VARIANTS_A_TASK = 2_000_000
+#: Wide fingerprints: longs of bits by which similarity is told, from shingles of some words.
+WIDE = LANES = 4
+#: Blocks that the wide fingerprints are dealt to at least, beyond a few; rows of a block at most; rows and columns compared at a time.
+FEW, BLOCKS, BLOCK_ROWS = 1 << 12, 8, 1 << 18
+TILE = (8, 4096)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,7 +197,7 @@ def _majority(words: np.ndarray, k: int, lanes: Sequence[int]) -> np.ndarray:
 
 
 def wide_of(text: bytes | None, shingle: int) -> np.ndarray:
-    """LANES longs: WIDE of the bits of all shingles, then the blocks, two to a long, of the bits of all pairs of words; no words: zeros."""
+    """WIDE longs of the bits that most shingles have; no words: zeros."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
@@ -206,7 +206,7 @@ def wide_of(text: bytes | None, shingle: int) -> np.ndarray:
     number = {w: xxh64_intdigest(w, 42) for w in set(words)}
     hashed = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
-        return np.concatenate((_majority(hashed, shingle, range(WIDE)), _majority(hashed, 2, range(WIDE, LANES))))
+        return _majority(hashed, shingle, range(WIDE))
 
 
 def wide_fingerprints(text: Column, shingle: int = 5) -> Column:
@@ -221,100 +221,94 @@ def wide_fingerprints(text: Column, shingle: int = 5) -> Column:
     return of(text)
 
 
-def _met(block: np.ndarray, value: np.ndarray, rep: np.ndarray, group: np.ndarray, flip: np.ndarray, local: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u, v), u > v, of those of different groups that share a variant with the least of it.
-
-    flip -1: the value itself and all of `local` flipped one by one; else that bit flipped.
-    """
-    here = flip < 0
-    free = np.array([0] + [1 << i for i in range(BLOCK_BITS) if local >> i & 1], np.uint64)
-    at = np.concatenate(((value[here, None] ^ free).ravel(), value[~here] ^ (np.uint64(1) << flip[~here].astype(np.uint64))))
-    place = np.concatenate((np.repeat(block[here], len(free)), block[~here])) << np.uint64(BLOCK_BITS) | at
-    source = np.concatenate((np.repeat(np.flatnonzero(here), len(free)), np.flatnonzero(~here)))
-    order = place.argsort()
-    place, source = place[order], source[order]
-    begins = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begins, len(place)))
-    if not (sizes > 1).any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    many = np.repeat(sizes > 1, sizes)
-    source, sizes = source[many], sizes[sizes > 1]
-    source = source[np.lexsort((rep[source], np.repeat(np.arange(len(sizes)), sizes)))]
-    least = np.repeat(source[np.cumsum(sizes) - sizes], sizes)
-    apart = group[source] != group[least]
-    found = np.unique(np.stack((rep[source[apart]], rep[least[apart]]), 1), axis=0)
-    return found[:, 0], found[:, 1]
-
-
-def _blocks(wide: DataFrame) -> DataFrame:
-    """wide, but for fp, with a row for each block and its value."""
-    half = F.lit((1 << BLOCK_BITS) - 1).cast("long")
-    parts = [F.shiftrightunsigned(F.get("fp", F.lit(WIDE + i // 2)), 32 * (i % 2)).bitwiseAND(half) for i in range(BLOCKS)]
-    return wide.select(*(c for c in wide.columns if c != "fp"), F.posexplode(F.array(*parts)).alias("block", "value"))
-
-
-def variant_pairs(values: DataFrame) -> DataFrame:
-    """Pairs (u, v), u > v, of nodes that stand for values of a block within two bits; values: block, value, rep, group, a row for each distinct value.
-
-    Nodes of a group are known to be linked and not paired again. Every value emits its variants within one bit, half the radius, and those that are equal
-    meet; each is paired with the least there, never all with all. Values are dealt by some of their bits: variants that keep these travel as one row. How
-    many bits follows from the number of tasks and changes no result.
-    """
-    tasks = max(1, -(-values.count() * (BLOCK_BITS + 1) // BLOCK_VARIANTS_A_TASK))
-    bits = min(24, max(4, (8 * tasks // BLOCKS).bit_length()))
-    low = (1 << bits) - 1
-    ways = F.array(*(F.struct(F.lit(i).cast("byte").alias("flip"), F.col("value").bitwiseXOR(F.lit(1 << i if i >= 0 else 0).cast("long")).bitwiseAND(F.lit(low).cast("long")).cast("int").alias("key")) for i in range(-1, bits)))
-    sent = values.select(F.col("block").cast("byte").alias("block"), "value", "rep", "group", F.inline(ways)).repartition(tasks, "block", "key")
-    local = ((1 << BLOCK_BITS) - 1) & ~low
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "value", "rep", "group", "flip")] for b in batches if b.num_rows]
-        if held:
-            block, value, rep, group, flip = (np.concatenate(c) for c in zip(*held, strict=True))
-            u, v = _met(block.astype(np.uint64), value.astype(np.uint64), rep, group, flip, local)
-            for i in range(0, len(u), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + CHUNK]), pa.array(v[i : i + CHUNK])], ["u", "v"])
-
-    return sent.mapInArrow(meet, "u long, v long").distinct()
-
-
-def verified(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose fingerprints agree in that share of their bits or more."""
-    lanes = lambda name: [F.get("fp", F.lit(i)).alias(f"{name}{i}") for i in range(WIDE)]
-    left, right = wide.select(F.col("node").alias("u"), *lanes("l")), wide.select(F.col("node").alias("v"), *lanes("r"))
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(WIDE)))
-    return pairs.join(left, "u").join(right, "v").where(differ <= int(64 * WIDE * (1 - similarity) + 1e-9)).select("u", "v")
-
-
-def similar_links(wide: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v), u > v, between nodes of like texts; wide: node (long), fp (as wide_fingerprints() gives it), a row a node.
-
-    Equal blocks meet first, by an aggregation: of each value of a block the smallest node stands for all, and all are tried with it. What that links is a
-    group. Then the nodes that stand for values within two bits are tried, but for those of one group: of many copies of a text, only few pairs are left.
+def _close(left: np.ndarray, right: np.ndarray, limit: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all columns of left and right that differ in limit bits or fewer; a row a lane. within: right is left, only i < j."""
+    for i in range(0, left.shape[1], TILE[0]):
+        for j in range(i if within else 0, right.shape[1], TILE[1]):
+            a, b = left[:, i : i + TILE[0], None], right[:, None, j : j + TILE[1]]
+            differ = np.bitwise_count(a[0] ^ b[0])
+            for k in range(1, WIDE - 1):  # strangers differ in more by then; 192 bits at most, which fit a byte
+                differ += np.bitwise_count(a[k] ^ b[k])
+            near = differ <= limit
+            if near.any():
+                x, y = np.nonzero(near)
+                on = differ[x, y] + np.bitwise_count(a[-1, x, 0] ^ b[-1, 0, y]).astype(np.int64) <= limit
+                if within:
+                    on &= i + x < j + y
+                yield x[on] + i, y[on] + j
+
+
+def _forest(pairs: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of pairs (u, v) of 0 to n - 1 those that join what was apart: they reach what all reach, and are fewer than n."""
+    root, waiting, held = np.arange(n), [], 0
+    for pair in chain(pairs, [None]):
+        if pair is not None:
+            apart = root[pair[0]] != root[pair[1]]
+            waiting.append((pair[0][apart], pair[1][apart]))
+            held += len(waiting[-1][0])
+        if not waiting or pair is not None and held < CHUNK:
+            continue
+        u, v = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        while len(u):
+            high, low = np.maximum(root[u], root[v]), np.minimum(root[u], root[v])
+            order = np.lexsort((low, high))
+            taken = order[np.diff(high[order], prepend=-1) > 0]
+            yield u[taken], v[taken]
+            up = np.arange(n)
+            up[high[taken]] = low[taken]  # every root hangs on a smaller one, so no rings
+            while (up[up] != up).any():
+                up = up[up]
+            root = up[root]
+            apart = root[u] != root[v]
+            u, v = u[apart], v[apart]
+        waiting, held = [], 0
+
+
+def similar_links(wide: DataFrame, similarity: float, every: bool = True) -> DataFrame:
+    """All links (u, v), u > v, between nodes whose fingerprints agree in that share of their bits or more; wide: node (long), fp (as wide_fingerprints() gives
+    it), a row a node. Not every: of the links that a task finds, only so many as reach all that they reach; the groups are the same.
+
+    Every pair is compared, so none is lost. Rows are dealt to blocks and each two blocks, or one with itself, meet in a task of their own. How many
+    blocks changes no links of every, and no groups. Time grows with the square of the nodes; no pairs but links leave a task.
     """
-    own = _blocks(wide)
-    values, _ = written(own.groupBy("block", "value").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "blocks")
-    alike = own.join(values.where("n > 1").drop("n"), ["block", "value"]).where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct()
-    first, _ = written(verified(alike, wide, similarity), "first")
-    roots, _ = components(first)
-    grouped = values.join(roots, F.col("rep") == F.col("node"), "left").select("block", "value", "rep", F.coalesce("root", "rep").alias("group"))
-    return first.union(verified(variant_pairs(grouped), wide, similarity))
+    limit = int(64 * WIDE * (1 - similarity) + 1e-9)
+    n = wide.count()
+    blocks = 1 if n <= FEW else max(BLOCKS, -(-n // BLOCK_ROWS))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    task = F.shiftright(high * (high + 1), 1) + low
+    lanes = [f"l{i}" for i in range(WIDE)]
+    own = wide.select("node", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"), *(F.get("fp", F.lit(i)).alias(c) for i, c in enumerate(lanes)))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(task.alias("task"), "block", "other", "node", *lanes)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("task", "block", "other", "node", *lanes)] for b in batches if b.num_rows]
+        if not held:
+            return
+        at, mine, theirs, node, *bits = (np.concatenate(c) for c in zip(*held, strict=True))
+        bits = np.stack(bits).view(np.uint64)
+        for t in np.unique(at):
+            left, right = (np.flatnonzero((at == t) & side) for side in (mine <= theirs, mine >= theirs))
+            pairs = ((left[i], right[j]) for i, j in _close(bits[:, left], bits[:, right], limit, bool((mine[left] == theirs[left]).all())))
+            for i, j in pairs if every else _forest(pairs, len(at)):
+                u, v = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return sent.repartitionById(blocks * (blocks + 1) // 2, "task").mapInArrow(compare, "u long, v long")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df, all columns, but of each group of near-duplicates only that with the smallest id (null last; of rows with equal ids, one).
 
     Texts are linked if their fingerprints, 256 bits over shingles of that many words, agree in a share of `similarity` of their bits or more,
-    and groups are what links reach. Such pairs differ in some 50 bits, far beyond any ball that could be listed; they are found by balls in blocks of 32 bits,
-    made from pairs of words, which an edit changes less: a pair at a similarity of 0.8 meets in one of them with a probability of 0.95,
-    nearer ones more surely (the README has measured figures). Null, empty and blank texts are alike. An empty table gives none.
+    and groups are what links reach. Such pairs differ in some 50 bits, far beyond any ball that could be listed, so all pairs of distinct fingerprints are
+    compared (the README has measured figures). Null, empty and blank texts are alike. An empty table gives none.
     """
     (row,) = fresh(df, "row")
     marked = numbered(df, row)
     slim, _ = written(marked.select(F.col(id_col).alias("id"), wide_fingerprints(F.col(text_col), shingle).alias("fp"), F.col(row).alias("row")), "fingerprints")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     per_fp, _ = written(slim.groupBy("fp").agg(F.min(rank).alias("best")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots, _ = components(similar_links(per_fp.select("node", "fp"), similarity))
+    roots, _ = components(similar_links(per_fp.select("node", "fp"), similarity, every=False))
     rooted = per_fp.select("best", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     best = rooted.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     return marked.join(best, row, "left_semi").select(*df.columns)

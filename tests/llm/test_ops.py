@@ -305,6 +305,53 @@ def test_near_duplicates_of_similarity(spark):
     assert len(want) > 20 and found <= want and len(found) >= 0.95 * len(want)
 
 
+def edited_texts():
+    """600 texts, half of them copies of the others with 14 to 22 of 120 words in a row changed: similarities about 0.8."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(300):
+        words = [f"w{v}" for v in rng.integers(0, 5000, 120)]
+        texts.append(" ".join(words))
+        at, n = int(rng.integers(0, 98)), 14 + i % 9
+        words[at : at + n] = [f"v{v}" for v in rng.integers(0, 5000, n)]
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_no_similar_link_is_lost(spark, monkeypatch):
+    """Links, however many blocks there are, and what keep_one() keeps, against all pairs."""
+    texts = edited_texts()
+    wide = np.array([simhash.wide_of(t, 5) for t in texts])
+    df = spark.createDataFrame([(i, [int(v) for v in w]) for i, w in enumerate(wide)], "node long, fp array<bigint>")
+    bits = np.unpackbits(wide[:, : simhash.WIDE].copy().view(np.uint8), axis=1).astype(int)
+    differ = bits.sum(1)[:, None] + bits.sum(1)[None, :] - 2 * bits @ bits.T
+    want = sorted((int(a), int(b)) for a, b in zip(*np.nonzero(differ <= 51), strict=True) if a < b)
+    assert 150 < len(want) < 300
+    assert sorted((r.v, r.u) for r in simhash.similar_links(df, 0.8).collect()) == want
+    monkeypatch.setattr(simhash, "FEW", 100)
+    assert sorted((r.v, r.u) for r in simhash.similar_links(df, 0.8).collect()) == want
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 50)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(600)) - {b for _, b in want})
+
+
+def test_a_forest_of_links_reaches_what_all_links_reach(spark, monkeypatch):
+    """Family of 300 with random edits of one fingerprint, dense and with chains, beside 300 strangers: the same groups by far fewer links."""
+    rng = np.random.default_rng(6)
+    wide = rng.integers(-(1 << 63), (1 << 63) - 1, (600, simhash.LANES))
+    for i in range(1, 300):
+        wide[i] = wide[rng.integers(0, i) if i % 2 else 0]
+        for b in rng.choice(64 * simhash.WIDE, 5 + i % 45, replace=False):
+            wide[i, b // 64] ^= np.int64(simhash._signed(1 << int(b) % 64))
+    df = spark.createDataFrame([(i, [int(v) for v in w]) for i, w in enumerate(wide)], "node long, fp array<bigint>")
+    monkeypatch.setattr(simhash, "FEW", 100)
+    monkeypatch.setattr(simhash, "BLOCKS", 2)
+    whole, slim = (simhash.similar_links(df, 0.8, every=e) for e in (True, False))
+    every, few = ({(r.v, r.u) for r in links.collect()} for links in (whole, slim))
+    roots = [sorted(map(tuple, simhash.components(links)[0].collect())) for links in (whole, slim)]
+    assert few < every and 2 * len(few) < len(every) and roots[0] == roots[1]
+
+
 def slow_wide(text, k, lanes):
     words = [xxh64_intdigest(w, 42) for w in text.split()]
     mask = (1 << 64) - 1
