@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,13 +16,17 @@ def bin_index(x: Column, low: Column, high: Column, bins: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor((x - start) / width * bins), bins - 1)).cast("int")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value computed once a row: an expression named inside a lambda would be computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
 def _shares(counts: Column) -> Column:
-    total = _sum(F.transform(counts, lambda c: c.cast("double")))
-    return F.transform(counts, lambda c: c / total)
+    return bound(counts, lambda each: bound(_sum(F.transform(each, lambda c: c.cast("double"))), lambda total: F.transform(each, lambda c: c / total)))
 
 
 def hellinger(ref: Column, test: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlake.functions.density import DISTANCES
+from driftlake.functions.density import DISTANCES, bound
 from driftlake.functions.hashrng import uniform
 from driftlake.functions.stats import t_quantile
 from driftlake.operators.inject import with_index
@@ -38,10 +38,20 @@ def _distance(bins: DataFrame, keys: Sequence[str], divergence: Divergence) -> D
     if divergence == "KL":
         half = lambda a, b: F.when(a > 0, a * F.log(a * 2 / (a + b))).otherwise(F.lit(0.0))
         return bins.groupBy(*keys).agg(F.sqrt(F.greatest(F.sum((half(r, t) + half(t, r)) / 2), F.lit(0.0))).alias("distance"))
+    if divergence == "intersection":
+        return bins.groupBy(*keys).agg((1 - F.sum(F.least(r, t))).alias("distance"))
     function = DISTANCES[divergence] if isinstance(divergence, str) else divergence
-    dense = bins.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "t")))).alias("cells"), F.max("bins").alias("bins"))  # sqrt(rows) bins
-    side = lambda c: F.transform(F.sequence(F.lit(0), F.col("bins") - 1), lambda i: F.coalesce(F.try_element_at("cells", i)[c], F.lit(0)))
-    return dense.select(*keys, function(side("r"), side("t")).alias("distance"))
+    dense = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "r", "t"))).alias("cells"), F.max("bins").alias("bins"))  # sqrt(rows) bins
+    sides = bound(F.col("cells"), lambda cells: _filled(cells, F.col("bins")))
+    return dense.select(*keys, bound(sides, lambda x: bound(F.struct(x["r"].alias("r"), x["t"].alias("t")), lambda s: function(s["r"], s["t"]))).alias("distance"))
+
+
+def _filled(cells: Column, bins: Column) -> Column:
+    """(r, t) of every bin from 0, zeros where there is no cell; cells: (bin, r, t) in order. Each cell brings the gap before it, so the work grows with the bins."""
+    zero = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("t"))
+    before = lambda i: F.when(i > 0, F.get(cells, i - 1)["bin"]).otherwise(F.lit(-1))
+    pieces = F.transform(cells, lambda c, i: F.concat(F.array_repeat(zero, c["bin"] - before(i) - 1), F.array(F.struct(c["r"].alias("r"), c["t"].alias("t")))))
+    return F.concat(F.flatten(pieces), F.array_repeat(zero, bins - F.element_at(cells, -1)["bin"] - 1))
 
 
 def _bin(v: Column) -> Column:

@@ -1,5 +1,7 @@
 """Batch detectors, partitioners, injectors and ensembles on small tables of known result."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -338,3 +340,21 @@ def test_ensemble_in_one_fold(spark):
     seen = lambda t: sorted(map(str, t.collect()))
     assert seen(together) == seen(apart) and any("drift" in r for r in seen(together))
     assert ensemble.stream_ensemble(df.limit(0), detectors, ["k"], ["i"], inputs).count() == 0
+
+
+def _bin_rows(spark, bins):
+    """One key with counts in every third bin, and the shares of reference and test in all bins."""
+    cells = [("k", i, 1 + i % 5, 2 + i % 3) for i in range(0, bins, 3)]
+    r, t = np.zeros(bins), np.zeros(bins)
+    for _, i, a, b in cells:
+        r[i], t[i] = a, b
+    rows = spark.createDataFrame(cells, "key string, bin int, r long, t long")
+    return rows.selectExpr("*", f"{int(r.sum())}L AS ref_n", f"{int(t.sum())}L AS test_n", f"{bins} AS bins"), r / r.sum(), t / t.sum()
+
+
+def test_intersection_of_many_bins_is_a_sum_over_bins(spark):
+    rows, r, t = _bin_rows(spark, 3000)
+    began = time.monotonic()
+    found = hdm._distance(rows, ["key"], "intersection").first()["distance"]
+    assert abs(found - (1 - np.minimum(r, t).sum())) < 1e-9
+    assert time.monotonic() - began < 60
