@@ -62,7 +62,7 @@ def hdm_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total variation as a divergence of one's own."""
 
     def variation(ref, test):
-        share = lambda x: F.transform(x, lambda v: v / F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))
+        share = lambda x: density.bound(F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b), lambda n: F.transform(x, lambda v: v / n))
         return F.aggregate(F.zip_with(share(ref), share(test), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / 2
 
     found = hdm.hdm(orders(spark, sf_dir), "year", ["o_totalprice"], variation, detect_batch=3, statistic="stdev")

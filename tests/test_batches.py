@@ -358,3 +358,13 @@ def test_intersection_of_many_bins_is_a_sum_over_bins(spark):
     found = hdm._distance(rows, ["key"], "intersection").first()["distance"]
     assert abs(found - (1 - np.minimum(r, t).sum())) < 1e-9
     assert time.monotonic() - began < 60
+
+
+def test_custom_divergence_sees_every_bin_once(spark):
+    rows, r, t = _bin_rows(spark, 3000)
+    began = time.monotonic()
+    found = hdm._distance(rows, ["key"], density.hellinger).first()["distance"]
+    assert abs(found - np.sqrt(((np.sqrt(t) - np.sqrt(r)) ** 2).sum())) < 1e-9
+    firsts = hdm._distance(rows, ["key"], lambda a, b: F.size(a) * 1000 + F.element_at(a, 4) * 10 + F.element_at(b, -3)).first()["distance"]
+    assert firsts == 3000 * 1000 + 4 * 10 + 2
+    assert time.monotonic() - began < 60
