@@ -14,8 +14,11 @@ from driftlake.operators.hdm import batch_numbers
 from driftlake.operators.inject import with_index
 from driftlake.sources.tables import settled
 
-#: Points of a block; a task meets two blocks.
-BLOCK = 2048
+#: Points for which a task searches: fewer tasks than cores if they would get fewer than BLOCK, and never more than MOST in one (about).
+BLOCK, MOST = 1024, 32_768
+#: Points of a task that are compared at once with a batch of others.
+CHUNK = 256
+NONE = 2**63 - 1
 
 
 def points_of(first: DataFrame, second: DataFrame, features: Sequence[str] | str) -> DataFrame:
@@ -29,40 +32,107 @@ def points_of(first: DataFrame, second: DataFrame, features: Sequence[str] | str
     return settled(with_index(distinct, ["x"], "id"), "points")
 
 
+class Nearest:
+    """The k nearest of points p among all that were met, exactly: by the sum of squares over the components in their order, ties to the smaller id.
+
+    A product of matrices in single precision, around the mean of p, gives every squared distance up to a bound on its error; what may be among the k nearest by it is computed again in
+    full. Where single precision does not reach, everything is.
+    """
+
+    def __init__(self, ids: np.ndarray, p: np.ndarray, k: int):
+        self.ids, self.p, self.k = ids, p, k
+        self.square, self.near = np.full((len(p), k), np.nan), np.full((len(p), k), NONE, np.int64)
+        with np.errstate(all="ignore"):
+            self.centre = p.mean(0)
+            x, self.norm, self.top = self._around(p)
+            self.rows = np.hstack([-2 * x, (self.norm**2)[:, None], np.ones((len(p), 1))]).astype(np.float32)
+
+    def _around(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """x around the centre, its norms, and the greatest number that took part."""
+        y = x - self.centre
+        return y, np.sqrt((y**2).sum(1)), float(max(np.abs(x).max(initial=0), np.abs(self.centre).max(initial=0)))
+
+    def meet(self, ids: np.ndarray, q: np.ndarray) -> None:
+        if not len(q):
+            return
+        with np.errstate(all="ignore"):
+            y, norm, top = self._around(q)
+            columns = np.hstack([y, np.ones((len(q), 1)), (norm**2)[:, None]]).astype(np.float32).T
+            d = q.shape[1]
+            for i in range(0, len(self.p), CHUNK):
+                p, worst = self.p[i : i + CHUNK], self.square[i : i + CHUNK, -1]
+                reach = self.norm[i : i + CHUNK] + norm.max()
+                if not reach.max() < 1e18:
+                    r, c = np.divmod(np.arange(len(p) * len(q)), len(q))
+                else:
+                    moved = 2 * d**0.5 * 2.0**-52 * max(top, self.top)  # by the shift to the centre
+                    slack = (d + 8) * 2.0**-23 * reach**2 + 2 * moved * reach + moved**2 + (d + 8) * 1e-37
+                    rough = self.rows[i : i + CHUNK] @ columns
+                    limit = np.where(np.isnan(worst), np.inf, worst)
+                    if np.isinf(limit).any() and len(q) >= self.k:
+                        limit = np.minimum(limit, np.partition(rough, self.k - 1, 1)[:, self.k - 1] + slack)
+                    limit = np.nextafter((limit + slack).astype(np.float32), np.float32(np.inf))
+                    r, c = np.divmod(np.flatnonzero(rough <= limit[:, None]), len(q))
+                if len(r):
+                    gap = np.zeros(len(r))
+                    for j in range(d):
+                        gap += (p[r, j] - q[c, j]) ** 2
+                    self._merge(i, r, gap, ids[c])
+
+    def _merge(self, i: int, r: np.ndarray, gap: np.ndarray, ids: np.ndarray) -> None:
+        rows = np.unique(r)
+        of, square, near = np.r_[np.repeat(rows, self.k), r], np.r_[self.square[i + rows].ravel(), gap], np.r_[self.near[i + rows].ravel(), ids]
+        order = np.lexsort((near, square, of))
+        take = order[np.searchsorted(of[order], rows)[:, None] + np.arange(self.k)]
+        self.square[i + rows], self.near[i + rows] = square[take], near[take]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.ids), 4096):
+            near, square = self.near[i : i + 4096], self.square[i : i + 4096]
+            on = near.ravel() != NONE
+            src, rank = np.repeat(self.ids[i : i + 4096], self.k), np.tile(np.arange(1, self.k + 1, dtype=np.int32), len(near))
+            yield pa.RecordBatch.from_arrays([pa.array(v[on]) for v in (src, near.ravel(), rank, square.ravel())], ["src", "dst", "rank", "square"])
+
+
 def neighbours(points: DataFrame, k: int) -> DataFrame:
     """src, dst, rank (1: nearest), squared distance: exactly the k nearest points (Euclidean) of every point, itself among them; ties to the smaller id.
 
-    points: (id long, x array<double>). Every pair of blocks meets once, each task holds two blocks and gives k rows a point; a window merges them and limits before it
-    shuffles. The work is quadratic in the number of points, as exactness asks.
+    points: (id long, x array<double>). Each task holds at most some MOST points and their k nearest so far, and all points pass it once, of equal ones only the k of the smallest ids, which
+    are all that can be found. The comparisons are quadratic in the number of points, as exactness asks; the shuffle takes every point once for each task.
     """
-    blocks = max(1, -(-points.count() // BLOCK))
-    of = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    left = points.select("id", "x", of.alias("a")).withColumn("b", every)
-    right = points.select("id", "x", of.alias("b")).withColumn("a", every)
-
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "square": pa.array([], pa.float64())})
-        p, q = (t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (x, y))
-        p_ids, q_ids = (t.column("id").to_numpy() for t in (x, y))
-        order = q_ids.argsort(kind="stable")
-        q, q_ids = q[order], q_ids[order]
-        m = min(k, len(q))
-        src, dst, square = [], [], []
-        for i in range(0, len(p), 64):
-            gap = np.zeros((len(p[i : i + 64]), len(q)))
-            for c in range(p.shape[1]):
-                gap += (p[i : i + 64, c, None] - q[None, :, c]) ** 2
-            near = gap.argsort(1, kind="stable")[:, :m]
-            src.append(np.repeat(p_ids[i : i + 64], m))
-            dst.append(q_ids[near].ravel())
-            square.append(np.take_along_axis(gap, near, 1).ravel())
-        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "square": np.concatenate(square)})
-
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "src long, dst long, square double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("square", "dst"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank", "square")
+    n, cores = points.count(), points.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(cores, -(-n // BLOCK))) if n <= MOST * cores else cores * -(-n // (MOST * cores))
+    turn = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    left = points.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("a"), F.lit(0).alias("side"), "id", "x")
+    right = points.select("id", "x").withColumn("turn_", turn).where(F.col("turn_") <= k)
+    right = right.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a"), F.lit(1).alias("side"), "id", "x")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine, task = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("a").to_numpy() * 2 + batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                a, side = divmod(int(key[lo]), 2)
+                if a != at:
+                    yield from task.found() if task else ()
+                    at, mine, task = a, [], None
+                ids, x = part.column("id").to_numpy(), part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                if side == 0:
+                    mine.append((ids, x))
+                    continue
+                if task is None and mine:
+                    task = Nearest(np.concatenate([m[0] for m in mine]), np.concatenate([m[1] for m in mine]), k)
+                    mine = []
+                if task:
+                    task.meet(ids, x)
+        yield from task.found() if task else ()
+
+    met = left.unionByName(right).repartitionById(blocks, F.col("a")).sortWithinPartitions("a", "side")
+    return met.mapInArrow(search, "src long, dst long, rank int, square double")
 
 
 def shared_density(edges: DataFrame, points: DataFrame) -> DataFrame:

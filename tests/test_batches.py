@@ -368,3 +368,40 @@ def test_custom_divergence_sees_every_bin_once(spark):
     firsts = hdm._distance(rows, ["key"], lambda a, b: F.size(a) * 1000 + F.element_at(a, 4) * 10 + F.element_at(b, -3)).first()["distance"]
     assert firsts == 3000 * 1000 + 4 * 10 + 2
     assert time.monotonic() - began < 60
+
+
+def _brute(x, k):
+    gap = np.zeros((len(x), len(x)))
+    for c in range(x.shape[1]):
+        gap += (x[:, c, None] - x[None, :, c]) ** 2
+    return gap.argsort(1, kind="stable")[:, :k]
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "offset", "tiny", "huge", "nan"])
+def test_nearest_is_exact(kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8))
+    x = {"plain": x, "ties": np.round(x[:, :2]), "offset": x + 1e7, "tiny": x * 1e-25, "huge": x * 1e150, "nan": np.where(rng.random(x.shape) < 0.001, np.nan, x)}[kind]
+    task = nn.Nearest(np.arange(700), x, 5)
+    for part in np.array_split(rng.permutation(700), 9):
+        task.meet(part, x[part])
+    assert (task.near == _brute(x, 5)).all()
+
+
+def test_nearest_computes_few_pairs_in_full(monkeypatch):
+    seen = []
+    merge = nn.Nearest._merge
+    monkeypatch.setattr(nn.Nearest, "_merge", lambda self, i, r, gap, ids: (seen.append(len(r)), merge(self, i, r, gap, ids))[1])
+    x = np.random.default_rng(4).normal(size=(4000, 32))
+    task = nn.Nearest(np.arange(4000), x, 5)
+    for part in np.array_split(np.arange(4000), 8):
+        task.meet(part, x[part])
+    assert (task.near == _brute(x, 5)).all() and sum(seen) < 4000 * 5 * 4
+
+
+def test_neighbours_of_copies_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nn, "BLOCK", 50)
+    x = np.repeat(np.random.default_rng(5).integers(0, 3, (60, 3)).astype(float), 5, axis=0)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    found = nn.neighbours(points, 4).orderBy("src", "rank").collect()
+    assert [r["dst"] for r in found] == _brute(x, 4).ravel().tolist() and [r["rank"] for r in found] == [1, 2, 3, 4] * 300
