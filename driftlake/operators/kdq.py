@@ -6,18 +6,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlake.functions.density import kullback_np, smoothed
 from driftlake.functions.hashrng import uniform_of
 from driftlake.operators.fold import Detector
 from driftlake.operators.hdm import batch_numbers
+from driftlake.sources.tables import settled
 
 #: Cells of a reference (rows times features) up to which its tree is built on the driver; larger ones are built level by level in Spark.
 DRIVER_CELLS = 2_000_000
 #: Nodes up to which a tree is compiled to a CASE expression; larger ones are walked in Arrow batches.
 CASE_NODES = 150
+#: Rows of a node up to which all that is below it is built in one task.
+NODE_ROWS = 500_000
 NODES = "node_id long, parent_id long, name string, depth int, axis int, midpoint double, is_leaf boolean, leaf int"
 
 
@@ -76,9 +79,13 @@ class KdqTree:
             i = self.left[i] if x[self.axis[i]] <= self.mid[i] else self.right[i]
         return self.leaf[i]
 
-    def places(self, points: np.ndarray) -> np.ndarray:
-        """Leaves of many points."""
-        axis, mid, left, right, leaf = (np.array(getattr(self, n)) for n in ("axis", "mid", "left", "right", "leaf"))
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """axis, mid, left, right and leaf of the nodes."""
+        return tuple(np.array(getattr(self, n)) for n in ("axis", "mid", "left", "right", "leaf"))
+
+    def places(self, points: np.ndarray, arrays: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """Leaves of many points; arrays: arrays(), if known."""
+        axis, mid, left, right, leaf = arrays or self.arrays()
         at = np.zeros(len(points), np.int64)
         while len(on := np.flatnonzero(axis[at] >= 0)):
             node = at[on]
@@ -121,28 +128,33 @@ def least_cells(low: Sequence[float], high: Sequence[float], proportion: float)
 
 def build_local(points: np.ndarray, count_ubound: int = 200, cutpoint_proportion_lbound: float = 0.25) -> KdqTree:
     """A node is a leaf if it has count_ubound points or distinct numbers at most, or if half its width along the axis of its depth is too small."""
-    tree = KdqTree()
     if not points.size:
-        return tree
-    least = least_cells(points.min(0), points.max(0), cutpoint_proportion_lbound)
-    todo = [(points, -1, 0, None)]
+        return KdqTree()
+    return _grown(points, count_ubound, least_cells(points.min(0), points.max(0), cutpoint_proportion_lbound)).number_leaves()
+
+
+def _grown(points: np.ndarray, count_ubound: int, least: Sequence[int], top: int = 0) -> KdqTree:
+    """The nodes of a tree, or of what hangs on a node of depth top."""
+    tree, todo = KdqTree(), [(points, -1, top, None)]
     while todo:
         part, parent, depth, side = todo.pop()
         me = tree.add(parent, depth, len(part), side)
         a = depth % part.shape[1]
         low = part[:, a].min()
         half = (part[:, a].max() - low) / 2
-        if len(part) <= count_ubound or half <= least[a] or np.unique(part).size <= count_ubound:
+        few = lambda x: np.unique(x).size <= count_ubound
+        if len(part) <= count_ubound or half <= least[a] or (few(part[: 2 * count_ubound]) and few(part)):
             continue
         tree.axis[me], tree.mid[me] = a, float(low + half)
         under = part[:, a] <= tree.mid[me]
         todo += [(part[~under], me, depth + 1, "right"), (part[under], me, depth + 1, "left")]
-    return tree.number_leaves()
+    return tree
 
 
 def build_distributed(df: DataFrame, features: Sequence[str], count_ubound: int = 200, cutpoint_proportion_lbound: float = 0.25) -> KdqTree:
-    """The same tree, level by level: one aggregation per depth over the nodes still open; the driver holds one entry per node."""
-    rows = df.select(F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
+    """The same tree. Rows are written once. Nodes of more than NODE_ROWS are split level by level, by one aggregation per depth; what hangs on smaller ones is built in one more pass, a task
+    for a node. The driver holds one entry per node."""
+    rows = settled(df.select(F.array(*(F.col(f).cast("double") for f in features)).alias("x")), "points")
     at = lambda i: F.get("x", F.lit(i))
     low_high = rows.agg(F.count("*"), *(f(at(i)) for f in (F.min, F.max) for i in range(len(features)))).first()
     d = len(features)
@@ -150,13 +162,15 @@ def build_distributed(df: DataFrame, features: Sequence[str], count_ubound: int
         return KdqTree()
     least = least_cells(low_high[1 : d + 1], low_high[d + 1 :], cutpoint_proportion_lbound)
     found: dict[str, dict] = {}
-    open_paths, splits, depth = [""], {}, 0
-    while open_paths:
-        here = _with_path(rows, splits).where(F.length("path") == depth)
+    open_paths, splits, depth, small = [""], {}, 0, {""} if low_high[0] <= NODE_ROWS else set()
+    while open_paths and not small.issuperset(open_paths):
+        here = _with_path(rows, splits).where((F.length("path") == depth) & ~F.col("path").isin(*small))
         a = depth % d
         stats = here.groupBy("path").agg(F.count("*").alias("n"), F.min(at(a)).alias("low"), F.max(at(a)).alias("high"))
         level = {r["path"]: r for r in stats.collect()}  # nodes of one level
-        wide = [p for p, r in level.items() if r["n"] > count_ubound and (r["high"] - r["low"]) / 2 > least[a]]
+        tiny = {p for p, r in level.items() if r["n"] <= NODE_ROWS}
+        small |= tiny
+        wide = [p for p, r in level.items() if p not in tiny and r["n"] > count_ubound and (r["high"] - r["low"]) / 2 > least[a]]
         kinds = {}
         if wide:
             numbers = here.select("path", F.explode("x").alias("v")).distinct().groupBy("path").agg(F.count("*").alias("k"))
@@ -168,8 +182,21 @@ def build_distributed(df: DataFrame, features: Sequence[str], count_ubound: int
                 splits[p] = (a, r["low"] + (r["high"] - r["low"]) / 2)
                 open_paths.append(p)
         depth += 1
-        if not open_paths:
-            break
+
+    def below(key: tuple, part: pa.Table) -> pa.Table:
+        points = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        top = key[0].as_py()
+        grown, paths = _grown(points, count_ubound, least, len(top)), [top]
+        for i in range(1, len(grown.axis)):
+            paths.append(paths[grown.parent[i]] + ("0" if grown.left[grown.parent[i]] == i else "1"))
+        return pa.table({"path": paths, "n": pa.array(grown.count, pa.int64()), "axis": pa.array(grown.axis, pa.int32()), "mid": grown.mid})
+
+    if small:
+        rest = _with_path(rows, splits).where(F.col("path").isin(*small)).groupBy("path").applyInArrow(below, "path string, n long, axis int, mid double")
+        for r in rest.collect():  # one row per node
+            found[r["path"]] = {"n": r["n"]}
+            if r["axis"] >= 0:
+                splits[r["path"]] = (r["axis"], r["mid"])
     tree, todo = KdqTree(), [("", -1, None)]
     while todo:
         path, parent, side = todo.pop()
@@ -224,11 +251,13 @@ def leaf_of(tree: KdqTree, features: Sequence[str]) -> Column:
             made[i] = F.lit(tree.leaf[i]) if tree.axis[i] < 0 else F.when(cols[tree.axis[i]] <= tree.mid[i], made[tree.left[i]]).otherwise(made[tree.right[i]])
         return made[0] if made else F.lit(None).cast("int")
 
+    known, empty = SparkSession.active().sparkContext.broadcast(tree.arrays()), KdqTree()
+
     @F.arrow_udf("int")
     def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             points = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-            yield pa.array(tree.places(points), pa.int32())
+            yield pa.array(empty.places(points, known.value), pa.int32())
 
     return walk(F.array(*cols))
 

@@ -405,3 +405,15 @@ def test_neighbours_of_copies_in_many_tasks(spark, monkeypatch):
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
     found = nn.neighbours(points, 4).orderBy("src", "rank").collect()
     assert [r["dst"] for r in found] == _brute(x, 4).ravel().tolist() and [r["rank"] for r in found] == [1, 2, 3, 4] * 300
+
+
+@pytest.mark.parametrize("node_rows", [100, 700, 10_000])
+def test_kdq_tree_in_few_passes_is_the_same(spark, monkeypatch, node_rows):
+    monkeypatch.setattr(kdq, "NODE_ROWS", node_rows)
+    passes = []
+    walk = kdq._with_path
+    monkeypatch.setattr(kdq, "_with_path", lambda rows, splits: (passes.append(1), walk(rows, splits))[1])
+    x = np.random.default_rng(6).normal(size=(3000, 3)).round(2)
+    df = spark.createDataFrame([tuple(v) for v in x.tolist()], "a double, b double, c double")
+    assert kdq.build_distributed(df, ["a", "b", "c"], 20, 2e-10).state() == kdq.build_local(x, 20, 2e-10).state()
+    assert len(passes) <= {100: 12, 700: 5, 10_000: 1}[node_rows]
